@@ -9,14 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import digest_texts
 from .common import read_table
 from .exact_dedup import EXACT_SQL, exact_digest
+from .quality import rate_quality
 from .simhash import simhash_digest
 from .token_counts import count_tokens
+from .url_filter import URL_SQL, filter_urls, listed_pages
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return filter_urls(pages, listed_pages(pages))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(read_table(spark, sf_dir, "documents"))
 
@@ -31,9 +42,11 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality": op2_quality,
+    "op3_url_filter": op3_url_filter,
     "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": EXACT_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_exact_dedup": EXACT_SQL}

@@ -33,9 +33,13 @@ from pyspark.sql import functions as F
 SAMPLE_OF_GRADE = 3000
 BUCKETS = 1 << 20
 #: Features in fewer documents of the sample carry no weight.
-LEAST_DOCUMENTS = 3
-ROUNDS = 150
-RIDGE = 2e-4
+LEAST_DOCUMENTS = 8
+#: So do those where no grade's share is so many standard errors from its share of the sample.
+LEAST_ERRORS = 6.0
+#: Words are features by their first letters too, so that forms of one stem share a weight.
+START = 5
+ROUNDS = 300
+RIDGE = 1e-4
 STEP = 0.05
 #: A document is kept if P(grade = 2) is at least this.
 LEAST_TAIL = 0.5
@@ -43,6 +47,7 @@ TOP_GRADE = 2
 #: Words whose weights a Python worker remembers; the memory is emptied when full.
 MEMORY_WORDS = 300_000
 
+EDGES = ".,;:!?()\"'"
 MARKS = regex.compile(r"[^\w\s]{2,}")
 
 
@@ -64,11 +69,12 @@ def shape(text: str, words: list[str], distinct: int) -> list[str]:
 
 
 def features(text: str | None) -> tuple[set[str], list[str]]:
-    """The distinct words of the whole text and its features of form."""
+    """The distinct words of the whole text, without marks at their edges, their starts, and its features of form."""
     text = text or ""
     words = text.lower().split()
-    distinct = set(words)
-    return distinct, shape(text, words, len(distinct))
+    distinct = {w.strip(EDGES) for w in words}
+    starts = {f"{w[:START]}~" for w in distinct}
+    return distinct | starts, shape(text, words, len(distinct))
 
 
 class OrdinalModel:
@@ -83,7 +89,13 @@ class OrdinalModel:
         flat = np.concatenate(rows)
         row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         used, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-        keep = count[column] >= LEAST_DOCUMENTS
+        told = np.zeros(len(used))
+        for k in range(TOP_GRADE + 1):
+            is_k = grades == k
+            centred = (is_k - is_k.mean()) / max(is_k.std(), 1e-9)
+            told = np.maximum(told, np.abs(np.bincount(column, centred[row], len(used))) / np.sqrt(count))
+        known = (count >= LEAST_DOCUMENTS) & (told >= LEAST_ERRORS)
+        keep = known[column]
         row, column = row[keep], column[keep]
         top = TOP_GRADE
         value = np.zeros(len(used) + top)
@@ -109,7 +121,6 @@ class OrdinalModel:
             second = 0.999 * second + 0.001 * gradient**2
             value -= STEP * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         weights = np.zeros(BUCKETS, dtype=np.float32)
-        known = count >= LEAST_DOCUMENTS
         weights[used[known]] = value[:-top][known]
         return cls(weights, cls._cuts(value[-top:]))
 

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import digest_texts
 from .common import read_table
+from .decontaminate import contaminated
 from .exact_dedup import EXACT_SQL, exact_digest
+from .licenses import scan_licenses
 from .quality import rate_quality
+from .secret_scan import scan_secrets
 from .simhash import simhash_digest
 from .token_counts import count_tokens
 from .url_filter import URL_SQL, filter_urls, listed_pages
@@ -36,17 +39,32 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_texts(read_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
     "op3_url_filter": op3_url_filter,
     "op5_simhash": op5_simhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_decontamination": op8_decontamination,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_exact_dedup": EXACT_SQL}

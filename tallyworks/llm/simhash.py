@@ -152,7 +152,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     A fingerprint has no more neighbours than there are patterns of that many
     bits (2,080 for 2), so the links grow with the fingerprints, not their square.
     """
-    table = durable(anchor_table(fps, max_bits))
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = durable(anchor_table(fps.repartition(parts), max_bits))  # a fingerprint becomes about 60 rows
     homes = table.where("is_home").select("anchor", F.col("fp").alias("a"))
     others = table.select("anchor", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import technicals
+from .plans import fundamentals, options, technicals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for group in (technicals,):
-    QUERIES |= group.QUERIES
-    ORACLE_SQL |= group.ORACLE_SQL
+for module in (technicals, fundamentals, options):
+    QUERIES |= module.GROUP.queries
+    ORACLE_SQL |= module.GROUP.oracle_sql

@@ -7,18 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import timeseries as T
 from ..sources import views as V
 from ..sources.tables import read_table
+from .registry import Group
 
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+GROUP = Group()
+query = GROUP.query
 
 
 def _d(x: float) -> str:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import fundamentals, options, technicals
+from .plans import analyst, events, fundamentals, options, technicals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (technicals, fundamentals, options):
+for module in (technicals, fundamentals, options, analyst, events):
     QUERIES |= module.GROUP.queries
     ORACLE_SQL |= module.GROUP.oracle_sql

@@ -7,7 +7,8 @@ less item place) the values behind the placeholders must be consistent: one
 value of the item stands for one value of the document. A document is
 contaminated by an item if consistent diagonals cover enough of its windows.
 
-A name is a capitalised word after a lower-case letter or a comma, a unit a word
+A name is a word with one capital after a lower-case word, so not the first of a
+sentence nor one of a text in capitals; a unit is a word
 of a fixed list after a number. An item of fewer words than a window is one
 window of its own length; one of fewer than LEAST_WORDS words is no evidence.
 
@@ -48,7 +49,7 @@ def plain_words(text: Column) -> Column:
 
 def template_words(text: Column) -> Column:
     """The same words with placeholders, one for one."""
-    named = F.regexp_replace(_apart(text), r"(?<=[\p{Ll},] )\p{Lu}[\p{L}\p{N}]*", NAME)
+    named = F.regexp_replace(_apart(text), r"(?<=\p{Ll},? )\p{Lu}\p{Ll}+", NAME)
     numbered = F.regexp_replace(F.lower(named), r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])[0-9]+(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])", NUMBER)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     measured = F.regexp_replace(numbered, rf"(?<={NUMBER} )(?:{units})(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])", UNIT)

@@ -63,8 +63,11 @@ def flow_state(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return stream.withWatermark("ts", lateness).groupBy("user_id").applyInPandasWithState(_flow, FLOW, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what there is and return it as a table in memory; for bounded inputs such as tests."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Process what there is, and read back the rows that were written below ``folder``; its checkpoint is there too."""
+    rows = f"{folder}/rows"
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(rows)
+    write = "overwrite" if mode == "complete" else "append"
+    query = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode(write).parquet(rows)).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(rows)

@@ -69,7 +69,8 @@ def item_windows(items: DataFrame) -> DataFrame:
     last = F.size("template") - F.col("width")
     cut = sized.select("item_id", "width", "template", "plain", (last + 1).alias("n_windows"), F.explode(F.sequence(F.lit(0), last)).alias("at"))
     part = [F.slice(c, F.col("at") + 1, F.col("width")).alias(c) for c in ("template", "plain")]
-    return cut.select("item_id", "width", "at", "n_windows", *part).withColumn("window", F.xxhash64("template")).distinct()
+    has_slots = F.arrays_overlap("template", F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT)))
+    return cut.select("item_id", "width", "at", "n_windows", *part).withColumn("window", F.xxhash64("template")).withColumn("has_slots", has_slots).distinct()
 
 
 def _slots(template: Column, ours: Column, theirs: Column) -> Column:
@@ -84,18 +85,18 @@ def contaminated(docs: DataFrame, items: DataFrame, least_coverage: float = LEAS
     listed = durable(item_windows(items))
     total = listed.count()
     widths = [r["width"] for r in listed.select("width").distinct().collect()]  # WINDOW and fewer
-    words = docs.where("text is not null").select("doc_id", template_words(F.col("text")).alias("doc_template"), plain_words(F.col("text")).alias("doc_plain"))
-    met = None
+    words = docs.where("text is not null").select("doc_id", "text", template_words(F.col("text")).alias("doc_template"))
+    met, nothing = None, F.array().cast("array<struct<a:string,b:string>>")
     for width in sorted(widths):
         own = listed.where(F.col("width") == width)
-        cut = words.select("doc_id", "doc_plain", F.posexplode(_windows(F.col("doc_template"), width)).alias("doc_at", "doc_window"))
+        cut = words.select("doc_id", "text", F.posexplode(_windows(F.col("doc_template"), width)).alias("doc_at", "doc_window"))
         if total <= BROADCAST_WINDOWS:
             own = F.broadcast(own)
         else:
             cut = ask_bloom(cut, "doc_window", blocked_bloom(own, "window"), "maybe").where("maybe").drop("maybe")
         pairs = cut.join(own, F.col("doc_window") == F.col("window"))
-        theirs = F.slice("doc_plain", F.col("doc_at") + 1, F.lit(width))
-        found = pairs.select("doc_id", "item_id", "at", "n_windows", (F.col("doc_at") - F.col("at")).alias("diagonal"), _slots(F.col("template"), F.col("plain"), theirs).alias("slots"))
+        theirs = F.slice(plain_words(F.col("text")), F.col("doc_at") + 1, F.lit(width))  # read for windows with slots only
+        found = pairs.select("doc_id", "item_id", "at", "n_windows", (F.col("doc_at") - F.col("at")).alias("diagonal"), F.when(F.col("has_slots"), _slots(F.col("template"), F.col("plain"), theirs)).otherwise(nothing).alias("slots"))
         met = found if met is None else met.unionByName(found)
     if met is None:
         return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage")).limit(0)

@@ -159,7 +159,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> OrdinalModel | None:
     for grade in sorted(total):
         some = rated.where(F.col("grade") == grade).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_OF_GRADE)
         first = some if first is None else first.unionByName(some)
-    sample = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id")  # at most SAMPLE_OF_GRADE rows a grade
+    found = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id")  # at most SAMPLE_OF_GRADE ids a grade
+    sample = found.groupBy("doc_id", "grade").agg(F.max("text").alias("text"))  # rows that repeat an id are one
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

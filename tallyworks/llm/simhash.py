@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -48,14 +48,15 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     if not words:
         return 0
     if len(words) <= width:
-        shingles = [b" ".join(words)]
+        shingles = iter([b" ".join(words)])
     else:
-        shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for at in range(0, len(shingles), BLOCK):
-        hashes = np.array([digest(s, seed) for s in shingles[at : at + BLOCK]], dtype="<u8")
+        shingles = map(b" ".join, zip(*(islice(words, i, None) for i in range(width)), strict=False))
+    digest, ones, count = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), 0
+    while block := [digest(s, seed) for s in islice(shingles, BLOCK)]:
+        hashes = np.array(block, dtype="<u8")
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(shingles), bitorder="little")
+        count += len(block)
+    bits = np.packbits(2 * ones > count, bitorder="little")
     return int(bits.view("<u8")[0])
 
 

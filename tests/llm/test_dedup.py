@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyworks.llm.bloom import ask_bloom, blocked_bloom, drop_listed
 from tallyworks.llm.components import connected_components
 from tallyworks.llm.exact_dedup import exact_copies, exact_digest
-from tallyworks.llm.line_dedup import banded_distance, drop_near_lines, line_classes
+from tallyworks.llm.line_dedup import banded_distance, drop_near_lines, letter_counts, line_classes, within
 from tallyworks.llm.simhash import GolayAnchors, fingerprint, home_anchors, near_duplicates, replicas, simhash_digest
 
 from .data import docs_of, sentence
@@ -168,3 +168,30 @@ def test_bloom(spark):
     docs = docs_of(spark, ["a"] * 50)
     left = drop_listed(docs, docs.where("doc_id % 3 = 0").select("doc_id"))
     assert sorted(r["doc_id"] for r in left.collect()) == [i for i in range(50) if i % 3]
+
+
+def test_within_two_edits(spark):
+    rng = random.Random(8)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, above = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    pairs = [("", ""), ("", "ab"), ("", "abc"), ("aa", "a"), ("ab", "ba"), ("abab", "baba")]
+    for _ in range(300):
+        a = "".join(rng.choice("aet é") for _ in range(rng.randint(0, 14)))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "e", "t", " ", "é"])
+        pairs.append((a, "".join(b)))
+    bits = F.bit_count(letter_counts(F.col("a")).bitwiseXOR(letter_counts(F.col("b"))))
+    near = [within(F.col("a"), F.col("b"), k).alias(f"near{k}") for k in (1, 2, 3)]
+    for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", bits.alias("bits"), *near).collect():
+        d = distance(r["a"], r["b"])
+        assert [r["near1"], r["near2"], r["near3"]] == [d <= 1, d <= 2, d <= 3], (r, d)
+        assert r["bits"] <= 2 * d

@@ -54,3 +54,24 @@ def drop_listed(docs: DataFrame, listed: DataFrame) -> DataFrame:
     clear = asked.where(~F.col("maybe")).select("row.*")
     hits = asked.where("maybe").alias("a").join(keys.alias("k"), F.expr("a.doc_key = k.doc_key and a.row.doc_id <=> k.listed_id"), "left_anti")
     return clear.unionByName(hits.select("row.*"))
+
+
+def row_keys() -> tuple[Column, Column]:
+    """Two hashes with different seeds: 128 bits that stand for a row's doc_id and text."""
+    return tuple(F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")).alias(k) for seed, k in enumerate(("k1", "k2")))
+
+
+def keep_rows(docs: DataFrame, told: DataFrame, once: bool = True) -> DataFrame:
+    """The rows of ``docs`` but those that ``told`` (k1, k2, stays) drops, in the columns of ``docs``.
+
+    Of the rows that repeat a doc_id and text that ``told`` lists as staying,
+    one is kept if ``once`` is set. Rows that the filter clears never move.
+    """
+    names = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *row_keys())
+    asked = ask_bloom(packed, "k1", blocked_bloom(told, "k1"), "maybe")
+    hits = asked.where("maybe").select("k1", "k2", "row")
+    if once:
+        hits = hits.groupBy("k1", "k2").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    left = hits.join(told.where("not stays").select("k1", "k2").distinct(), ["k1", "k2"], "left_anti")
+    return asked.where("not maybe").select("row.*").unionByName(left.select("row.*"))

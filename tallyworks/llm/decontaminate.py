@@ -4,8 +4,9 @@ Numbers, names and units become typed placeholders, so that a question with
 other numbers or names keeps its template. Windows of the template's words are
 joined by hash with those of all documents. On each diagonal (document place
 less item place) the values behind the placeholders must be consistent: one
-value of the item stands for one value of the document. A document is
-contaminated by an item if consistent diagonals cover enough of its windows.
+value of the item stands for one value of the document. Windows that hold a value
+of which this is not true don't count, unless their words are those of the item.
+A document is contaminated by an item if the windows that count cover enough of it.
 
 A name is a word with one capital after a lower-case word, so not the first of a
 sentence nor one of a text in capitals; a unit is a word
@@ -96,14 +97,19 @@ def contaminated(docs: DataFrame, items: DataFrame, least_coverage: float = LEAS
             cut = ask_bloom(cut, "doc_window", blocked_bloom(own, "window"), "maybe").where("maybe").drop("maybe")
         pairs = cut.join(own, F.col("doc_window") == F.col("window"))
         theirs = F.slice(plain_words(F.col("text")), F.col("doc_at") + 1, F.lit(width))  # read for windows with slots only
-        found = pairs.select("doc_id", "item_id", "at", "n_windows", (F.col("doc_at") - F.col("at")).alias("diagonal"), F.when(F.col("has_slots"), _slots(F.col("template"), F.col("plain"), theirs)).otherwise(nothing).alias("slots"))
+        slots = F.when(F.col("has_slots"), _slots(F.col("template"), F.col("plain"), theirs)).otherwise(nothing).alias("slots")
+        same = (~F.col("has_slots") | (F.col("plain") == theirs)).alias("same")
+        found = pairs.select("doc_id", "item_id", "n_windows", (F.col("doc_at") - F.col("at")).alias("diagonal"), F.struct("at", same, slots).alias("met"))
         met = found if met is None else met.unionByName(found)
     if met is None:
         return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage")).limit(0)
-    # a diagonal holds one copy of the item at most, so its slots are as few as the item's
-    lines = met.groupBy("doc_id", "item_id", "n_windows", "diagonal").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    one_to_one = F.size("slots") == F.size(F.array_distinct(F.col("slots.a")))
-    by_item = lines.where(one_to_one).select("doc_id", "item_id", "n_windows", F.explode("ats").alias("at"))
+    # a diagonal holds one copy of the item at most, so its windows are as few as the item's
+    lines = met.groupBy("doc_id", "item_id", "n_windows", "diagonal").agg(F.collect_set("met").alias("met"))
+    lines = lines.withColumn("slots", F.array_distinct(F.flatten("met.slots"))).withColumn("values", F.array_distinct("slots.a"))
+    several = F.filter("values", lambda a: F.size(F.filter("slots", lambda s: s["a"] == a)) > 1)
+    unclear = F.when(F.size("slots") > F.size("values"), several).otherwise(F.array().cast("array<string>"))
+    counted = F.filter("met", lambda w: w["same"] | ~F.arrays_overlap(w["slots"]["a"], F.col("unclear")))
+    by_item = lines.withColumn("unclear", unclear).select("doc_id", "item_id", "n_windows", F.explode(counted).alias("met")).select("doc_id", "item_id", "n_windows", "met.at")
     covered = by_item.groupBy("doc_id", "item_id", F.col("n_windows").alias("of_item")).agg(F.count_distinct("at").alias("n_windows"))
     rated = covered.withColumn("coverage", F.col("n_windows") / F.col("of_item"))
     return rated.where(F.col("coverage") >= least_coverage).select("doc_id", "item_id", "n_windows", "coverage")

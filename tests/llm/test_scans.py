@@ -83,6 +83,17 @@ def test_decontamination(spark):
     assert got == {(0, 1), (2, 1), (3, 2), (8, 5), (9, 5), (11, 5)}
 
 
+def test_one_altered_value_costs_its_windows_only(spark):
+    story = "in the year 2019 the old mill by the river was sold to a young baker who grew wheat there until the bad harvest of the year 2019 made him close it again and move"
+    chance = "a box holds 5 red balls and nobody knows how they came there but the owner of the shop says that she sold 5 of them before noon"
+    items = spark.createDataFrame([(1, story), (2, chance)], "item_id long, text string")
+    texts = [story.replace("2019", "2020", 1), chance.replace("5", "3", 1).replace("5", "4"), story.replace("2019", "2021")]
+    got = {(r["doc_id"], r["item_id"]): r["n_windows"] for r in contaminated(docs_of(spark, texts), items).collect()}
+    n, m = len(story.split()) - 7, len(chance.split()) - 7
+    # windows over the second number are literally equal; those over the first, or over either, are not
+    assert got == {(0, 1): n - 4, (2, 1): n, (1, 2): m - sum("5" in chance.split()[i : i + 8] for i in range(m))}
+
+
 def test_decontamination_beyond_the_broadcast(spark, monkeypatch):
     from tallyworks.llm import decontaminate
 

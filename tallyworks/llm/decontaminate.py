@@ -8,9 +8,12 @@ value of the item stands for one value of the document. Windows that hold a valu
 of which this is not true don't count, unless their words are those of the item.
 A document is contaminated by an item if the windows that count cover enough of it.
 
-A name is a word with one capital after a lower-case word, so not the first of a
-sentence nor one of a text in capitals; a unit is a word
-of a fixed list after a number. An item of fewer words than a window is one
+A name is a word with one capital after a lower-case word, so not one of a text in
+capitals. In a second template it is any word with one capital, as the first of a
+sentence can be a name; of an item's windows there, those count of which a third
+or more is no placeholder. An item's third template has no names, for copies in
+lower case. A number can have separators and decimals; a unit is a word of a fixed
+list after a number. An item of fewer words than a window is one
 window of its own length; one of fewer than LEAST_WORDS words is no evidence.
 
 Results by case: null and empty texts match nothing. Repeated rows of a
@@ -20,6 +23,8 @@ not at all. Empty tables give no rows. Only doc_id, item_id and text are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,41 +42,80 @@ NAME, NUMBER, UNIT = "", "", ""
 #: Fixed values.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hour hours minute minutes second seconds day days week weeks month months year years cent cents dollar dollars euro euros percent mph kmh w kw v hz byte bytes kb mb gb".split()
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: What stands before a word that may be a name, and for the point in a number.
+FIRST, POINT = "\uE0F3", "\uE0F4"
+#: Of so many words of a window in the second template, one at least is no placeholder.
+LITERAL_OF = 3
 
 
 def _apart(text: Column) -> Column:
-    """A number and the letters that follow it are two words."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9])(?=\p{L})", " ")
+    """A number is one word without separators of thousands, and the letters that follow it are another."""
+    apart = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9])(?=\p{L})", " ")
+    whole = F.regexp_replace(apart, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
+    return F.regexp_replace(whole, r"(?<=[0-9])[.,](?=[0-9])", POINT)
 
 
 def plain_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(_apart(text)), F.lit(WORD), F.lit(0))
 
 
-def template_words(text: Column) -> Column:
-    """The same words with placeholders, one for one."""
-    named = F.regexp_replace(_apart(text), r"(?<=\p{Ll},? )\p{Lu}\p{Ll}+", NAME)
-    numbered = F.regexp_replace(F.lower(named), r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])[0-9]+(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])", NUMBER)
+def _measured(named: Column) -> Column:
+    """The words in lower case, with placeholders for numbers and units."""
+    numbered = F.regexp_replace(F.lower(named), rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])[0-9]+(?:{POINT}[0-9]+)*(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])", NUMBER)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     measured = F.regexp_replace(numbered, rf"(?<={NUMBER} )(?:{units})(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])", UNIT)
     return F.regexp_extract_all(measured, F.lit(WORD), F.lit(0))
 
 
+def template_words(text: Column) -> Column:
+    """The same words with placeholders, one for one, and FIRST before those that are names in the second template only."""
+    named = F.regexp_replace(_apart(text), r"(?<=\p{Ll},? )\p{Lu}\p{Ll}+", NAME)
+    return _measured(F.regexp_replace(named, rf"(?<!{CASED})(\p{{Lu}}\p{{Ll}}+)(?!{CASED})", f"{FIRST}$1"))
+
+
+def first_template(words: Column) -> Column:
+    return F.transform(words, lambda w: F.ltrim(w, F.lit(FIRST)))
+
+
+def second_template(words: Column) -> Column:
+    return F.transform(words, lambda w: F.when(w.startswith(FIRST), NAME).otherwise(w))
+
+
+def third_template(text: Column) -> Column:
+    return _measured(_apart(text))
+
+
 def _windows(words: Column, width: int) -> Column:
-    """The hash of each window, in order; empty if there are too few words."""
+    """The place and hash of each window in both templates; empty if there are too few words."""
     last = F.size(words) - width
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(width)))))
+
+    def hashed(template: Column) -> Callable[[Column], Column]:
+        return lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, F.lit(width))).alias("hash"))
+
+    places = F.sequence(F.lit(0), last)
+    typed = F.transform(words, lambda w: w.startswith(FIRST))
+    other = F.filter(places, lambda i: F.array_contains(F.slice(typed, i + 1, F.lit(width)), F.lit(True)))
+    both = F.struct(first_template(words).alias("one"), second_template(words).alias("two"))
+    # as an element the templates are made once, not at each window
+    return F.when(last >= 0, F.transform(F.array(both), lambda t: F.concat(F.transform(places, hashed(t["one"])), F.transform(other, hashed(t["two"]))))[0])
 
 
 def item_windows(items: DataFrame) -> DataFrame:
     """item_id, width, hash, at, n_windows, and the words and templates of each window."""
-    read = items.where("item_id is not null").select("item_id", template_words(F.col("text")).alias("template"), plain_words(F.col("text")).alias("plain"))
-    sized = read.where(F.size("template") >= LEAST_WORDS).withColumn("width", F.least(F.size("template"), F.lit(WINDOW)))
-    last = F.size("template") - F.col("width")
-    cut = sized.select("item_id", "width", "template", "plain", (last + 1).alias("n_windows"), F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    read = items.where("item_id is not null").select("item_id", "text", template_words(F.col("text")).alias("words"), plain_words(F.col("text")).alias("plain"))
+    sized = read.where(F.size("words") >= LEAST_WORDS).withColumn("width", F.least(F.size("words"), F.lit(WINDOW)))
+    last = F.size("words") - F.col("width")
+    templates = F.array(first_template(F.col("words")), second_template(F.col("words")), third_template(F.col("text")))
+    each = sized.select("item_id", "width", "plain", (last + 1).alias("n_windows"), F.posexplode(templates).alias("kind", "template"), last.alias("last"))
+    cut = each.select("item_id", "width", "kind", "template", "plain", "n_windows", F.explode(F.sequence(F.lit(0), "last")).alias("at"))
     part = [F.slice(c, F.col("at") + 1, F.col("width")).alias(c) for c in ("template", "plain")]
-    has_slots = F.arrays_overlap("template", F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT)))
-    return cut.select("item_id", "width", "at", "n_windows", *part).withColumn("window", F.xxhash64("template")).withColumn("has_slots", has_slots).distinct()
+    holders = F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT))
+    cut = cut.select("item_id", "width", "kind", "at", "n_windows", *part)
+    literal = F.size(F.filter("template", lambda w: ~F.array_contains(holders, w)))
+    cut = cut.where((F.col("kind") != 1) | (literal * LITERAL_OF >= F.col("width")))
+    has_slots = F.arrays_overlap("template", holders)
+    return cut.select("item_id", "width", "at", "n_windows", "template", "plain").withColumn("window", F.xxhash64("template")).withColumn("has_slots", has_slots).distinct()
 
 
 def _slots(template: Column, ours: Column, theirs: Column) -> Column:
@@ -90,7 +134,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least_coverage: float = LEAS
     met, nothing = None, F.array().cast("array<struct<a:string,b:string>>")
     for width in sorted(widths):
         own = listed.where(F.col("width") == width)
-        cut = words.select("doc_id", "text", F.posexplode(_windows(F.col("doc_template"), width)).alias("doc_at", "doc_window"))
+        cut = words.select("doc_id", "text", F.explode(_windows(F.col("doc_template"), width)).alias("w")).select("doc_id", "text", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("doc_window"))
         if total <= BROADCAST_WINDOWS:
             own = F.broadcast(own)
         else:

@@ -94,6 +94,18 @@ def test_one_altered_value_costs_its_windows_only(spark):
     assert got == {(0, 1): n - 4, (2, 1): n, (1, 2): m - sum("5" in chance.split()[i : i + 8] for i in range(m))}
 
 
+def test_names_first_and_numbers_of_any_form(spark):
+    apples = "Tom has 5 apples. Tom buys 4 more apples. Anna eats 2 of them. Anna drops 3 pears. How many are left?"
+    price = "the shop sells a used car for 500 dollars and then gives back 3 percent of that price to each buyer"
+    titled = "Alice Beth Carol David Edgar Frank Gerald Henry are friends"
+    items = spark.createDataFrame([(1, apples), (2, price), (3, titled)], "item_id long, text string")
+    other = apples.replace("Tom", "Paul").replace("Anna", "Mary").replace("5", "9")
+    texts = [other, other.replace("9", "1,250.5"), price.replace("500", "1,000").replace("3", "3.5"), "Many Words In Title Case Say Nothing Of Any Item At All", apples.lower(), "List: " + other.replace(". ", ".\n")]
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in contaminated(docs_of(spark, texts), items).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 2), (4, 1), (5, 1)}
+    assert min(got.values()) > 0.9
+
+
 def test_decontamination_beyond_the_broadcast(spark, monkeypatch):
     from tallyworks.llm import decontaminate
 

@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import ask_bloom, blocked_bloom, drop_listed
+from .bloom import ask_bloom, blocked_bloom, keep_rows, row_keys
 from .common import durable
 
 WINDOW = 8
@@ -125,16 +125,16 @@ def _slots(template: Column, ours: Column, theirs: Column) -> Column:
     return F.transform(rows, lambda r: F.struct(F.concat(r["t"], r["a"]).alias("a"), r["b"].alias("b")))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
-    """doc_id, item_id, n_windows (of the item, found on consistent diagonals) and coverage of each contamination."""
+def leaks(docs: DataFrame, items: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
+    """doc_id, k1, k2 (the row's keys), item_id, of_item (its windows), n_windows (those that count) and coverage of each leak."""
     listed = durable(item_windows(items))
     total = listed.count()
     widths = [r["width"] for r in listed.select("width").distinct().collect()]  # WINDOW and fewer
-    words = docs.where("text is not null").select("doc_id", "text", template_words(F.col("text")).alias("doc_template"))
+    words = docs.where("text is not null").select("doc_id", *row_keys(), "text", template_words(F.col("text")).alias("doc_template"))
     met, nothing = None, F.array().cast("array<struct<a:string,b:string>>")
     for width in sorted(widths):
         own = listed.where(F.col("width") == width)
-        cut = words.select("doc_id", "text", F.explode(_windows(F.col("doc_template"), width)).alias("w")).select("doc_id", "text", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("doc_window"))
+        cut = words.select("doc_id", "k1", "k2", "text", F.explode(_windows(F.col("doc_template"), width)).alias("w")).select("doc_id", "k1", "k2", "text", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("doc_window"))
         if total <= BROADCAST_WINDOWS:
             own = F.broadcast(own)
         else:
@@ -143,23 +143,29 @@ def contaminated(docs: DataFrame, items: DataFrame, least_coverage: float = LEAS
         theirs = F.slice(plain_words(F.col("text")), F.col("doc_at") + 1, F.lit(width))  # read for windows with slots only
         slots = F.when(F.col("has_slots"), _slots(F.col("template"), F.col("plain"), theirs)).otherwise(nothing).alias("slots")
         same = (~F.col("has_slots") | (F.col("plain") == theirs)).alias("same")
-        found = pairs.select("doc_id", "item_id", "n_windows", (F.col("doc_at") - F.col("at")).alias("diagonal"), F.struct("at", same, slots).alias("met"))
+        found = pairs.select("doc_id", "k1", "k2", "item_id", "n_windows", (F.col("doc_at") - F.col("at")).alias("diagonal"), F.struct("at", same, slots).alias("met"))
         met = found if met is None else met.unionByName(found)
     if met is None:
-        return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage")).limit(0)
+        return docs.select("doc_id", *row_keys(), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("of_item"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage")).limit(0)
     # a diagonal holds one copy of the item at most, so its windows are as few as the item's
-    lines = met.groupBy("doc_id", "item_id", "n_windows", "diagonal").agg(F.collect_set("met").alias("met"))
+    lines = met.groupBy("doc_id", "k1", "k2", "item_id", "n_windows", "diagonal").agg(F.collect_set("met").alias("met"))
     lines = lines.withColumn("slots", F.array_distinct(F.flatten("met.slots"))).withColumn("values", F.array_distinct("slots.a"))
     several = F.filter("values", lambda a: F.size(F.filter("slots", lambda s: s["a"] == a)) > 1)
     unclear = F.when(F.size("slots") > F.size("values"), several).otherwise(F.array().cast("array<string>"))
     counted = F.filter("met", lambda w: w["same"] | ~F.arrays_overlap(w["slots"]["a"], F.col("unclear")))
-    by_item = lines.withColumn("unclear", unclear).select("doc_id", "item_id", "n_windows", F.explode(counted).alias("met")).select("doc_id", "item_id", "n_windows", "met.at")
-    covered = by_item.groupBy("doc_id", "item_id", F.col("n_windows").alias("of_item")).agg(F.count_distinct("at").alias("n_windows"))
+    by_item = lines.withColumn("unclear", unclear).select("doc_id", "k1", "k2", "item_id", "n_windows", F.explode(counted).alias("met")).select("doc_id", "k1", "k2", "item_id", "n_windows", "met.at")
+    covered = by_item.groupBy("doc_id", "k1", "k2", "item_id", F.col("n_windows").alias("of_item")).agg(F.count_distinct("at").alias("n_windows"))
     rated = covered.withColumn("coverage", F.col("n_windows") / F.col("of_item"))
-    return rated.where(F.col("coverage") >= least_coverage).select("doc_id", "item_id", "n_windows", "coverage")
+    return rated.where(F.col("coverage") >= least_coverage).select("doc_id", "k1", "k2", "item_id", "of_item", "n_windows", "coverage")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
+    """doc_id, item_id, n_windows (of the item, found with consistent values) and coverage of each contamination; of texts of one doc_id the one that covers most."""
+    found = leaks(docs, items, least_coverage).groupBy("doc_id", "item_id", "of_item").agg(F.max("n_windows").alias("n_windows"), F.max("coverage").alias("coverage"))
+    return found.select("doc_id", "item_id", "n_windows", "coverage")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that no item contaminates, in their own columns."""
-    found = durable(contaminated(docs, items).select("doc_id").distinct())
-    return drop_listed(docs, found)
+    told = durable(leaks(docs, items).select("k1", "k2", F.lit(False).alias("stays")).distinct())
+    return keep_rows(docs, told, once=False)

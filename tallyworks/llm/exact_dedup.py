@@ -9,7 +9,8 @@ no group is ever gathered and no text is shuffled.
 Results by case: a null text counts as empty, so null, empty and blank texts
 are equal. Of equal texts the longest original stays, then the smallest doc_id;
 a null doc_id comes after all others. Rows that repeat both doc_id and text are
-one document: they stay or go together. Only doc_id and text are read, so other
+one document: in the digest they stay or go together, and dropping copies leaves
+one of them. Only doc_id and text are read, so other
 columns can have any name.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import ask_bloom, blocked_bloom
+from .bloom import ask_bloom, blocked_bloom, keep_rows, row_keys
 from .common import durable
 
 #: Code points of the normalised text that the second step hashes.
@@ -34,13 +35,10 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def exact_groups(docs: DataFrame, hash_all: bool = False) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and digest (binary SHA-256) of each row.
-
-    The digest is null for rows that the first two steps decided, unless
-    ``hash_all`` asks for it.
-    """
-    text = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_original"), normalised(F.col("text")).alias("body"))
+def _refined(docs: DataFrame, hash_all: bool = False, keyed: bool = False) -> DataFrame:
+    """doc_id, n_original, maybe (false: no other row is equal) and digest of each row, and k1 and k2 if ``keyed`` asks for them."""
+    keys = row_keys() if keyed else ()
+    text = docs.select("doc_id", *keys, F.length(F.coalesce("text", F.lit(""))).alias("n_original"), normalised(F.col("text")).alias("body"))
     n, prefix = F.length("body"), F.left("body", F.lit(PREFIX))
     light = durable(text.select(F.xxhash64(n).alias("by_length"), F.xxhash64(n, prefix).alias("by_prefix")))
 
@@ -51,8 +49,17 @@ def exact_groups(docs: DataFrame, hash_all: bool = False) -> DataFrame:
     twice = repeated(left_over, "by_prefix")
     asked = ask_bloom(text.withColumn("by_prefix", F.xxhash64(n, prefix)), "by_prefix", twice, "maybe")
     full = F.unhex(F.sha2("body", 256))
-    rows = durable(asked.select("doc_id", "n_original", "maybe", (full if hash_all else F.when(F.col("maybe"), full)).alias("digest")))
+    names = ["doc_id", "n_original", "maybe"] + (["k1", "k2"] if keyed else [])
+    return durable(asked.select(*names, (full if hash_all else F.when(F.col("maybe"), full)).alias("digest")))
+
 
+def exact_groups(docs: DataFrame, hash_all: bool = False) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and digest (binary SHA-256) of each row.
+
+    The digest is null for rows that the first two steps decided, unless
+    ``hash_all`` asks for it.
+    """
+    rows = _refined(docs, hash_all)
     best = F.min(F.struct(-F.col("n_original"), F.col("doc_id").isNull(), F.col("doc_id"))).getField("doc_id")
     groups = rows.where("maybe").groupBy("digest").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
     # a second key makes both sides shuffle, so that a text with very many copies can be split
@@ -73,6 +80,17 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     return exact_groups(docs).where("not kept").select("doc_id")
 
 
+def drop_exact_copies(docs: DataFrame) -> DataFrame:
+    """One row of each group of equal texts, in the columns of ``docs``; of rows that repeat doc_id and text, one too."""
+    rows = _refined(docs, keyed=True).where("maybe")
+    best = F.min(F.struct(-F.col("n_original"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("k1"), F.col("k2"))).alias("best")
+    groups = rows.groupBy("digest").agg(best, F.count("*").alias("group_size")).where("group_size > 1").select("digest", F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2"))
+    # a second key makes both sides shuffle, so that a text with very many copies can be split
+    spare = F.xxhash64("digest").alias("spare")
+    joined = rows.select("digest", "k1", "k2", spare).join(groups.select("*", spare), ["digest", "spare"])
+    return keep_rows(docs, durable(joined.select("k1", "k2", F.expr("k1 = b1 and k2 = b2").alias("stays"))))
+
+
 EXACT_SQL = r"""
 WITH d AS (
     SELECT doc_id, length(coalesce(text, '')) AS n,

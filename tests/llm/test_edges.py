@@ -2,6 +2,7 @@
 
 import pytest
 
+from corpus_pipeline import exact_dedup, simhash_dedup
 from tallyworks.llm.bpe import digest_texts, encode_texts
 from tallyworks.llm.decontaminate import contaminated, drop_contaminated
 from tallyworks.llm.exact_dedup import exact_digest
@@ -64,6 +65,29 @@ def test_stages_keep_the_columns(spark):
     assert keep_quality(docs, labels(spark).limit(0)).count() == docs.count()
 
 
+def test_rows_go_one_by_one(spark):
+    leak = messy_rows()[9][1]
+    rows = [(None, "a b c", "1"), (None, "abc", "2"), (None, "another text", "3"), (4, "abc", "4"), (4, "a text of its own", "5")] + [(6, "repeated", "6")] * 50 + [(None, leak, "7"), (4, leak + " ", "8")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    want = [(None, "a b c", "1"), (None, "another text", "3"), (4, "a text of its own", "5"), (6, "repeated", "6"), (4, leak + " ", "8")]
+    assert sorted(map(str, map(tuple, exact_dedup(spark, docs, "").collect()))) == sorted(map(str, want))
+    want = sorted(map(str, rows[:-2]))
+    assert sorted(map(str, map(tuple, drop_contaminated(docs, items(spark)).collect()))) == want
+    near = simhash_dedup(spark, docs, "").collect()
+    assert sorted(r["row"] for r in near) == ["1", "3", "4", "5", "6", "8"]
+
+
+def test_dedup_stages_on_messy_rows(spark):
+    docs = messy(spark)
+    for stage in (exact_dedup, simhash_dedup):
+        out = stage(spark, docs, "")
+        got = [r["text"] for r in out.collect()]
+        bodies = ["".join((t or "").split()) for t in got]
+        assert out.columns == docs.columns and "null id" in got
+        assert len(set(bodies)) == len(bodies) and set(bodies) == {"".join((r[1] or "").split()) for r in messy_rows()}
+        assert stage(spark, docs.limit(0), "").collect() == []
+
+
 def test_contaminated(spark):
     found = contaminated(messy(spark), items(spark)).collect()
     copies = {i for i, r in enumerate(messy_rows()) if r[1] and r[1].strip() == messy_rows()[9][1]}

@@ -94,11 +94,14 @@ def _windows(words: Column, width: int) -> Column:
         return lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, F.lit(width))).alias("hash"))
 
     places = F.sequence(F.lit(0), last)
-    typed = F.transform(words, lambda w: w.startswith(FIRST))
-    other = F.filter(places, lambda i: F.array_contains(F.slice(typed, i + 1, F.lit(width)), F.lit(True)))
     both = F.struct(first_template(words).alias("one"), second_template(words).alias("two"))
+
+    def windows(t: Column) -> Column:
+        other = F.filter(places, lambda i: F.slice(t["one"], i + 1, F.lit(width)) != F.slice(t["two"], i + 1, F.lit(width)))
+        return F.concat(F.transform(places, hashed(t["one"])), F.transform(other, hashed(t["two"])))
+
     # as an element the templates are made once, not at each window
-    return F.when(last >= 0, F.transform(F.array(both), lambda t: F.concat(F.transform(places, hashed(t["one"])), F.transform(other, hashed(t["two"]))))[0])
+    return F.when(last >= 0, F.transform(F.array(both), windows)[0])
 
 
 def item_windows(items: DataFrame) -> DataFrame:

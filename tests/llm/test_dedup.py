@@ -195,3 +195,8 @@ def test_within_two_edits(spark):
         d = distance(r["a"], r["b"])
         assert [r["near1"], r["near2"], r["near3"]] == [d <= 1, d <= 2, d <= 3], (r, d)
         assert r["bits"] <= 2 * d
+
+
+def test_edits_behind_a_very_long_start(spark):
+    pairs = spark.range(1).selectExpr("repeat('ab', 1100000) || 'xcy' AS a", "repeat('ab', 1100000) || 'wcv' AS b")
+    assert pairs.select(within(F.col("a"), F.col("b"), 2).alias("near")).first()["near"]

@@ -120,46 +120,86 @@ def test_banded_distance(spark):
         assert all(r["got"] == r["want"] if r["want"] <= k else r["got"] > k for r in both)
 
 
-def test_line_classes(spark):
-    rng = random.Random(6)
-    lines = [sentence(rng, 4) for _ in range(40)]
-    for t in lines[:25]:
-        for _ in range(3):
-            i = rng.randrange(len(t))
-            lines.append(t[:i] + rng.choice(["", "x", "yz"]) + t[i + rng.randint(0, 2) :])
-    lines += ["short", "shirt", "short"]
-    rng.shuffle(lines)
-    texts = ["\n".join(lines[i : i + 7]) for i in range(0, len(lines), 7)] + [None, ""]
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i] + row[1:], row
+        for j, y in enumerate(b, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+    return row[-1]
+
+
+def linked(a, b):
+    return abs(len(a) - len(b)) <= 2 and edits(a, b) <= min(2, max(len(a), len(b)) // 4)
+
+
+def check_lines(spark, texts, least_links):
     first, copies = {}, {}
     for d, t in enumerate(texts):
         for n, line in enumerate((t or "").split("\n")):
             if line:
                 first.setdefault(line, (d, n))
                 copies[line] = copies.get(line, 0) + 1
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i] + row[1:], row
-            for j, y in enumerate(b, 1):
-                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-        return row[-1]
-
-    long = [x for x in first if len(x) >= 24]
-    links = [(first[a], first[b]) for a in long for b in long if a < b and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
+    links = [(first[a], first[b]) for a in first for b in first if a < b and linked(a, b)]
     want = components(first.values(), links)
     got = {(r["doc_id"], r["line_no"]): r for r in line_classes(docs_of(spark, texts)).collect()}
-    assert set(got) == set(first.values()) and len(links) > 20
+    assert set(got) == set(first.values()) and len(links) >= least_links
     for line, at in first.items():
         r = got[at]
         assert (r["class_doc_id"], r["class_line_no"]) == want[at]
         assert r["n_links"] == sum(at in x for x in links) and r["n_copies"] == copies[line]
+    return first, want
+
+
+def test_line_classes(spark):
+    rng = random.Random(6)
+    lines = [sentence(rng, 4) for _ in range(40)]
+    for t in lines[:25]:
+        for _ in range(3):
+            i = rng.randrange(len(t))
+            lines.append(t[:i] + rng.choice(["", "x", "yz"]) + t[i + rng.randint(0, 2) :])
+    lines += ["short", "shirt", "short", "a", "b", "ab", "abc", "abcd", "Copyright 2023 A. Ltd", "Copyright 2024 A. Ltd"]
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 7]) for i in range(0, len(lines), 7)] + [None, ""]
+    first, want = check_lines(spark, texts, 20)
     kept = {r["doc_id"]: r["text"] for r in drop_near_lines(docs_of(spark, texts)).collect()}
     for d, t in enumerate(texts):
         if t:
             assert kept[d] == "\n".join(x for n, x in enumerate(t.split("\n")) if want[first[x]] == (d, n))
 
 
+def test_short_lines(spark):
+    rng = random.Random(16)
+    lines = ["".join(rng.choice("abé😀") for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    check_lines(spark, ["\n".join(lines[i : i + 20]) for i in range(0, 400, 20)], 80)
+
+
+def test_many_lines_of_one_segment(spark):
+    rng = random.Random(17)
+    numbers = rng.sample(range(10**9), 3000)
+    lines = [f"the same start of every line, then {x:09d} and the same end of every line" for x in numbers]
+    got = line_classes(docs_of(spark, ["\n".join(lines[i : i + 50]) for i in range(0, 3000, 50)])).collect()
+    digits = np.array([[int(c) for c in f"{x:09d}"] for x in numbers], dtype=np.int8)
+    pairs = {(i, j) for i in range(3000) for j in np.flatnonzero((digits != digits[i]).sum(axis=1) <= 2).tolist() if i < j}
+    shorter = {}  # of equal length, so the other two edits are a deletion and an insertion
+    for i, x in enumerate(numbers):
+        for at in range(9):
+            shorter.setdefault(f"{x:09d}"[:at] + f"{x:09d}"[at + 1 :], set()).add(i)
+    pairs |= {(i, j) for same in shorter.values() for i in same for j in same if i < j}
+    n_links = np.bincount(np.array(sorted(pairs)).ravel(), minlength=3000)
+    assert pairs and sorted(r["n_links"] for r in got) == sorted(n_links.tolist())
+
+
+def test_rows_of_one_doc_id(spark):
+    rows = [(5, "a line that stands here only\nthe very same line in both"), (5, "the very same line in both\nanother one of its own"), (None, "a line without any id"), (None, "a lime without any id")] + [(7, "seven times the same text")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in drop_near_lines(docs).collect()]
+    assert sorted(x for _, t in kept for x in t.split("\n") if x and "seven" not in x) in (
+        sorted(["a line that stands here only", "the very same line in both", "another one of its own", x]) for x in ("a line without any id", "a lime without any id")
+    )
+    assert [t for i, t in kept if i == 7] == ["seven times the same text"] * 2 and len(kept) == 6
+
+
 def test_bloom(spark):
     keys = spark.range(500).select(F.xxhash64("id").alias("k"))
     asked = ask_bloom(spark.range(5000).withColumn("k", F.xxhash64("id")), "k", blocked_bloom(keys, "k", 64), "maybe", 64)

@@ -4,18 +4,23 @@ Numbers, names and units become typed placeholders, so that a question with
 other numbers or names keeps its template. Windows of the template's words are
 joined by hash with those of all documents. On each diagonal (document place
 less item place) the values behind the placeholders must be consistent: one
-value of the item stands for one value of the document. Windows that hold a value
-of which this is not true don't count, unless their words are those of the item.
-A document is contaminated by an item if the windows that count cover enough of it.
-
-A name is a word with one capital after a lower-case word, so not one of a text in
-capitals. In a second template it is any word with one capital, as the first of a
-sentence can be a name; of an item's windows there, those count of which a third
-or more is no placeholder. An item's third template has no names, for copies in
-lower case. A number can have separators and decimals; a unit is a word of a fixed
+value of the item stands for one value of the document, and the other way round.
+Windows that hold a value of which this is not true don't count, unless their
+words are those of the item. A document is contaminated by an item if the windows
+that count cover enough of it.
+
+Each word keeps its value behind a mark, and three templates are read off the marks. In the
+first, a name is a word with one capital after a lower-case word. In the second it is
+any word with one capital, as the first of a sentence, line or quotation can be
+a name; of an item's windows there, those count of which a third or more is no
+placeholder. The third has no names, for copies in lower case, capitals or title
+case. A number can have separators and decimals; a unit is a word of a fixed
 list after a number. An item of fewer words than a window is one
 window of its own length; one of fewer than LEAST_WORDS words is no evidence.
 
+The windows move as hashes and places only; the words behind the placeholders are
+read once more, from the documents that met a window, once for each text.
+
 Results by case: null and empty texts match nothing. Repeated rows of a
 document or an item are one. A null doc_id is reported as null, a null item_id
 not at all. Empty tables give no rows. Only doc_id, item_id and text are read.
@@ -23,7 +28,7 @@ not at all. Empty tables give no rows. Only doc_id, item_id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,126 +42,141 @@ LEAST_COVERAGE = 0.25
 #: Item windows that are broadcast; more are joined by shuffle, behind a Bloom filter of bounded size.
 BROADCAST_WINDOWS = 200_000
 
-#: Placeholders, as words of one private letter.
-NAME, NUMBER, UNIT = "", "", ""
+#: Marks before a name, a number, a unit and a word that is a name in the second template, and the point in a number.
+NAME, NUMBER, UNIT, FIRST, POINT = "\uE0F0", "\uE0F1", "\uE0F2", "\uE0F3", "\uE0F4"
 #: Fixed values.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hour hours minute minutes second seconds day days week weeks month months year years cent cents dollar dollars euro euros percent mph kmh w kw v hz byte bytes kb mb gb".split()
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-#: What stands before a word that may be a name, and for the point in a number.
-FIRST, POINT = "\uE0F3", "\uE0F4"
+LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+NO_WORD = r"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
 #: Of so many words of a window in the second template, one at least is no placeholder.
 LITERAL_OF = 3
 
 
-def _apart(text: Column) -> Column:
-    """A number is one word without separators of thousands, and the letters that follow it are another."""
+def marked_words(text: Column) -> Column:
+    """The words in lower case; a number is one word, the letters behind it are another, and names, numbers and units have a mark before them."""
     apart = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9])(?=\p{L})", " ")
     whole = F.regexp_replace(apart, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
-    return F.regexp_replace(whole, r"(?<=[0-9])[.,](?=[0-9])", POINT)
-
-
-def plain_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(_apart(text)), F.lit(WORD), F.lit(0))
-
-
-def _measured(named: Column) -> Column:
-    """The words in lower case, with placeholders for numbers and units."""
-    numbered = F.regexp_replace(F.lower(named), rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])[0-9]+(?:{POINT}[0-9]+)*(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])", NUMBER)
+    joined = F.regexp_replace(whole, r"(?<=[0-9])[.,](?=[0-9])", POINT)
+    named = F.regexp_replace(joined, r"(?<=\p{Ll},? )(\p{Lu}\p{Ll}+)", f"{NAME}$1")
+    named = F.regexp_replace(named, rf"(?<!{LETTER})(\p{{Lu}}\p{{Ll}}+)(?!{LETTER})", f"{FIRST}$1")
+    numbered = F.regexp_replace(F.lower(named), rf"(?<!{WORD[:-1]})([0-9]+(?:{POINT}[0-9]+)*){NO_WORD}", f"{NUMBER}$1")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    measured = F.regexp_replace(numbered, rf"(?<={NUMBER} )(?:{units})(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])", UNIT)
+    measured = F.regexp_replace(numbered, rf"({NUMBER}[0-9{POINT}]+ )[{NAME}{FIRST}]?({units}){NO_WORD}", f"$1{UNIT}$2")
     return F.regexp_extract_all(measured, F.lit(WORD), F.lit(0))
 
 
-def template_words(text: Column) -> Column:
-    """The same words with placeholders, one for one, and FIRST before those that are names in the second template only."""
-    named = F.regexp_replace(_apart(text), r"(?<=\p{Ll},? )\p{Lu}\p{Ll}+", NAME)
-    return _measured(F.regexp_replace(named, rf"(?<!{CASED})(\p{{Lu}}\p{{Ll}}+)(?!{CASED})", f"{FIRST}$1"))
-
+def _plain(word: Column) -> Column:
+    return F.ltrim(word, F.lit(NAME + NUMBER + UNIT + FIRST))
 
-def first_template(words: Column) -> Column:
-    return F.transform(words, lambda w: F.ltrim(w, F.lit(FIRST)))
 
+def _template(word: Column, kind: int) -> Column:
+    """A word of the first, second or third template (0, 1, 2)."""
+    measured = F.when(word.startswith(NUMBER), NUMBER).when(word.startswith(UNIT), UNIT)
+    if kind < 2:
+        measured = measured.when(word.startswith(NAME), NAME)
+    if kind == 1:
+        measured = measured.when(word.startswith(FIRST), NAME)
+    return measured.otherwise(_plain(word))
 
-def second_template(words: Column) -> Column:
-    return F.transform(words, lambda w: F.when(w.startswith(FIRST), NAME).otherwise(w))
 
+def _hashes(words: Column, kind: int) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(_template(w, kind)))
 
-def third_template(text: Column) -> Column:
-    return _measured(_apart(text))
 
+def _windows(words: Column, widths: list[int]) -> Column:
+    """The place and hash of each window, in the first template and where they differ in the others."""
 
-def _windows(words: Column, width: int) -> Column:
-    """The place and hash of each window in both templates; empty if there are too few words."""
-    last = F.size(words) - width
+    def of_width(t: Column, width: int) -> Column:
+        def cut(kind: str, i: Column) -> Column:
+            return F.slice(t[kind], i + 1, F.lit(width))
 
-    def hashed(template: Column) -> Callable[[Column], Column]:
-        return lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, F.lit(width))).alias("hash"))
+        def at(kind: str, places: Column) -> Column:
+            return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(cut(kind, i)).alias("hash")))
 
-    places = F.sequence(F.lit(0), last)
-    both = F.struct(first_template(words).alias("one"), second_template(words).alias("two"))
+        last = F.size(t["one"]) - width
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        two = F.filter(places, lambda i: cut("one", i) != cut("two", i))
+        three = F.filter(places, lambda i: cut("one", i) != cut("three", i))
+        return F.concat(at("one", places), at("two", two), at("three", three))
 
-    def windows(t: Column) -> Column:
-        other = F.filter(places, lambda i: F.slice(t["one"], i + 1, F.lit(width)) != F.slice(t["two"], i + 1, F.lit(width)))
-        return F.concat(F.transform(places, hashed(t["one"])), F.transform(other, hashed(t["two"])))
-
-    # as an element the templates are made once, not at each window
-    return F.when(last >= 0, F.transform(F.array(both), windows)[0])
+    # as an element the hashes of the words are made once, not at each window
+    kinds = F.struct(*[_hashes(words, k).alias(c) for k, c in enumerate(("one", "two", "three"))])
+    return F.transform(F.array(kinds), lambda t: F.concat(*[of_width(t, w) for w in widths]))[0]
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, width, hash, at, n_windows, and the words and templates of each window."""
-    read = items.where("item_id is not null").select("item_id", "text", template_words(F.col("text")).alias("words"), plain_words(F.col("text")).alias("plain"))
+    """item_id, width, at, n_windows, window (its hash), plain (the hash of its words) and slots (place, mark, value) of each window."""
+    read = items.where("item_id is not null").select("item_id", marked_words(F.col("text")).alias("words"))
     sized = read.where(F.size("words") >= LEAST_WORDS).withColumn("width", F.least(F.size("words"), F.lit(WINDOW)))
     last = F.size("words") - F.col("width")
-    templates = F.array(first_template(F.col("words")), second_template(F.col("words")), third_template(F.col("text")))
-    each = sized.select("item_id", "width", "plain", (last + 1).alias("n_windows"), F.posexplode(templates).alias("kind", "template"), last.alias("last"))
-    cut = each.select("item_id", "width", "kind", "template", "plain", "n_windows", F.explode(F.sequence(F.lit(0), "last")).alias("at"))
-    part = [F.slice(c, F.col("at") + 1, F.col("width")).alias(c) for c in ("template", "plain")]
-    holders = F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT))
-    cut = cut.select("item_id", "width", "kind", "at", "n_windows", *part)
-    literal = F.size(F.filter("template", lambda w: ~F.array_contains(holders, w)))
-    cut = cut.where((F.col("kind") != 1) | (literal * LITERAL_OF >= F.col("width")))
-    has_slots = F.arrays_overlap("template", holders)
-    return cut.select("item_id", "width", "at", "n_windows", "template", "plain").withColumn("window", F.xxhash64("template")).withColumn("has_slots", has_slots).distinct()
-
-
-def _slots(template: Column, ours: Column, theirs: Column) -> Column:
-    """Pairs (value of the item, value of the document) behind the placeholders of a window."""
-    holder = F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT))
-    rows = F.filter(F.arrays_zip(template.alias("t"), ours.alias("a"), theirs.alias("b")), lambda r: F.array_contains(holder, r["t"]))
-    return F.transform(rows, lambda r: F.struct(F.concat(r["t"], r["a"]).alias("a"), r["b"].alias("b")))
+    cut = sized.select("item_id", "words", "width", (last + 1).alias("n_windows"), F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    cut = cut.select("item_id", "width", "n_windows", "at", F.slice("words", F.col("at") + 1, F.col("width")).alias("cut"))
+    plain = F.xxhash64(F.transform("cut", lambda w: F.xxhash64(_plain(w)))).alias("plain")
+
+    def slots_of(kind: int) -> Column:
+        named = F.transform("cut", lambda w, i: F.struct(i.alias("place"), _template(w, kind).alias("mark"), _plain(w).alias("value")))
+        return F.filter(named, lambda s: s["mark"].isin(NAME, NUMBER, UNIT))
+
+    every = None
+    for kind in range(3):
+        slots = slots_of(kind).alias("slots")
+        one = cut.select("item_id", "width", "at", "n_windows", F.xxhash64(_hashes(F.col("cut"), kind)).alias("window"), plain, slots)
+        if kind == 1:
+            one = one.where((F.col("width") - F.size("slots")) * LITERAL_OF >= F.col("width"))
+        every = one if every is None else every.unionByName(one)
+    return every.distinct()
+
+
+def met_windows(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, doc_at and the item's window, for each window of a document that an item has too."""
+    total = listed.count()
+    widths = sorted(r["width"] for r in listed.select("width").distinct().collect())  # WINDOW and fewer
+    if not widths:
+        return docs.select("doc_id", *row_keys(), F.lit(0).alias("doc_at")).limit(0).join(listed, F.lit(False))
+    read = docs.where("text is not null").select("doc_id", *row_keys(), F.explode(_windows(marked_words(F.col("text")), widths)).alias("w"))
+    cut = read.select("doc_id", "k1", "k2", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("doc_window"))
+    if total <= BROADCAST_WINDOWS:
+        listed = F.broadcast(listed)
+    else:
+        cut = ask_bloom(cut, "doc_window", blocked_bloom(listed, "window"), "maybe").where("maybe").drop("maybe")
+    # rows that repeat id and text become one before they move
+    return cut.join(listed, F.col("doc_window") == F.col("window")).drop("doc_window", "window").distinct()
+
+
+def words_behind(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """k1, k2, doc_at, width and theirs (the words) of each window of ``met`` that has placeholders."""
+    wanted = met.where(F.size("slots") > 0).groupBy("k1", "k2").agg(F.collect_set(F.struct("doc_at", "width")).alias("wanted"))  # a text's own places
+    keyed = docs.where("text is not null").select(*row_keys(), "text")
+    some = ask_bloom(keyed, "k1", blocked_bloom(wanted, "k1"), "maybe").where("maybe").drop("maybe")
+    texts = some.groupBy("k1", "k2").agg(F.min("text").alias("text")).join(wanted, ["k1", "k2"])
+    plain = F.transform(marked_words(F.col("text")), _plain)
+
+    def cut(words: Column) -> Column:
+        return F.transform("wanted", lambda p: F.struct(p["doc_at"].alias("doc_at"), p["width"].alias("width"), F.slice(words, p["doc_at"] + 1, p["width"]).alias("theirs")))
+
+    # as an element the words are cut once, not at each window
+    return texts.select("k1", "k2", F.inline(F.transform(F.array(plain), cut)[0]))
 
 
 def leaks(docs: DataFrame, items: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
     """doc_id, k1, k2 (the row's keys), item_id, of_item (its windows), n_windows (those that count) and coverage of each leak."""
-    listed = durable(item_windows(items))
-    total = listed.count()
-    widths = [r["width"] for r in listed.select("width").distinct().collect()]  # WINDOW and fewer
-    words = docs.where("text is not null").select("doc_id", *row_keys(), "text", template_words(F.col("text")).alias("doc_template"))
-    met, nothing = None, F.array().cast("array<struct<a:string,b:string>>")
-    for width in sorted(widths):
-        own = listed.where(F.col("width") == width)
-        cut = words.select("doc_id", "k1", "k2", "text", F.explode(_windows(F.col("doc_template"), width)).alias("w")).select("doc_id", "k1", "k2", "text", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("doc_window"))
-        if total <= BROADCAST_WINDOWS:
-            own = F.broadcast(own)
-        else:
-            cut = ask_bloom(cut, "doc_window", blocked_bloom(own, "window"), "maybe").where("maybe").drop("maybe")
-        pairs = cut.join(own, F.col("doc_window") == F.col("window"))
-        theirs = F.slice(plain_words(F.col("text")), F.col("doc_at") + 1, F.lit(width))  # read for windows with slots only
-        slots = F.when(F.col("has_slots"), _slots(F.col("template"), F.col("plain"), theirs)).otherwise(nothing).alias("slots")
-        same = (~F.col("has_slots") | (F.col("plain") == theirs)).alias("same")
-        found = pairs.select("doc_id", "k1", "k2", "item_id", "n_windows", (F.col("doc_at") - F.col("at")).alias("diagonal"), F.struct("at", same, slots).alias("met"))
-        met = found if met is None else met.unionByName(found)
-    if met is None:
-        return docs.select("doc_id", *row_keys(), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("of_item"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage")).limit(0)
+    met = durable(met_windows(docs, durable(item_windows(items))))
+    own, nothing = ["doc_id", "k1", "k2", "item_id", "n_windows"], F.array().cast("array<struct<a:string,b:string>>")
+    diagonal = (F.col("doc_at") - F.col("at")).alias("diagonal")
+    pairs = F.transform("slots", lambda s: F.struct(F.concat(s["mark"], s["value"]).alias("a"), F.concat(s["mark"], F.get("theirs", s["place"])).alias("b")))
+    same = (F.xxhash64(F.transform("theirs", lambda w: F.xxhash64(w))) == F.col("plain")).alias("same")
+    read = met.where(F.size("slots") > 0).join(words_behind(docs, met), ["k1", "k2", "doc_at", "width"])
+    valued = read.select(*own, diagonal, F.struct("at", same, pairs.alias("slots")).alias("met"))
+    literal = met.where(F.size("slots") == 0).select(*own, diagonal, F.struct("at", F.lit(True).alias("same"), nothing.alias("slots")).alias("met"))
     # a diagonal holds one copy of the item at most, so its windows are as few as the item's
-    lines = met.groupBy("doc_id", "k1", "k2", "item_id", "n_windows", "diagonal").agg(F.collect_set("met").alias("met"))
-    lines = lines.withColumn("slots", F.array_distinct(F.flatten("met.slots"))).withColumn("values", F.array_distinct("slots.a"))
-    several = F.filter("values", lambda a: F.size(F.filter("slots", lambda s: s["a"] == a)) > 1)
-    unclear = F.when(F.size("slots") > F.size("values"), several).otherwise(F.array().cast("array<string>"))
-    counted = F.filter("met", lambda w: w["same"] | ~F.arrays_overlap(w["slots"]["a"], F.col("unclear")))
-    by_item = lines.withColumn("unclear", unclear).select("doc_id", "k1", "k2", "item_id", "n_windows", F.explode(counted).alias("met")).select("doc_id", "k1", "k2", "item_id", "n_windows", "met.at")
+    lines = valued.unionByName(literal).groupBy(*own, "diagonal").agg(F.collect_set("met").alias("met"))
+    lines = lines.withColumn("slots", F.array_distinct(F.flatten("met.slots")))
+    one_to_one = reduce(Column.__and__, [F.size(F.array_distinct(F.col(f"slots.{c}"))) == F.size("slots") for c in "ab"])
+    crossed = F.filter("slots", lambda s: F.exists("slots", lambda r: (r["a"] == s["a"]) != (r["b"] == s["b"])))
+    unclear = F.when(one_to_one, nothing).otherwise(crossed)
+    counted = F.filter("met", lambda w: w["same"] | ~F.arrays_overlap(w["slots"], F.col("unclear")))
+    by_item = lines.withColumn("unclear", unclear).select(*own, F.explode(counted).alias("met")).select(*own, "met.at")
     covered = by_item.groupBy("doc_id", "k1", "k2", "item_id", F.col("n_windows").alias("of_item")).agg(F.count_distinct("at").alias("n_windows"))
     rated = covered.withColumn("coverage", F.col("n_windows") / F.col("of_item"))
     return rated.where(F.col("coverage") >= least_coverage).select("doc_id", "k1", "k2", "item_id", "of_item", "n_windows", "coverage")

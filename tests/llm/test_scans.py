@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 
 import pytest
 
@@ -106,6 +107,119 @@ def test_names_first_and_numbers_of_any_form(spark):
     assert min(got.values()) > 0.9
 
 
+UNITS = "mm|cm|m|km|in|ft|yd|mi|mg|g|kg|lb|oz|ml|l|gal|s|sec|min|h|hr|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|cents|cent|dollars|dollar|euros|euro|percent|mph|kmh|kw|w|kv|v|hz|bytes|byte|kb|mb|gb"
+
+
+def plain_marked(text):
+    """(word, kind) of a text: n number, u unit, a name, f name in the second template, or nothing."""
+    text = re.sub(r"(?<=[0-9])(?=[^\W\d_])", " ", text or "")
+    text = re.sub(r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "", text)
+    text = re.sub(r"(?<=[0-9])[.,](?=[0-9])", "\uE0F4", text)
+    out, before = [], None
+    for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[A-Z]", re.sub("[A-Z]", lambda c: "\uE000" + c[0].lower(), text)):
+        word = m[0]
+        plain, capitals = word.replace("\uE000", ""), word.count("\uE000")
+        gap = text_gap(m.string, m.start())
+        kind = ""
+        if re.fullmatch("[0-9\uE0F4]+", plain):
+            kind = "n"
+        elif before == "n" and gap == " " and re.fullmatch(UNITS, plain):
+            kind = "u"
+        elif capitals == 1 and word[0] == "\uE000" and len(plain) > 1 and plain.isalpha():
+            lower_before = re.search("[a-z],? $", m.string[max(0, m.start() - 3) : m.start()]) and m.string[: m.start()].rstrip(", ")[-2:-1] != "\uE000"
+            kind = "a" if lower_before else "f"
+        out.append((plain, kind))
+        before = kind
+    return out
+
+
+def text_gap(text, at):
+    return text[at - 1 : at]
+
+
+def plain_leaks(texts, items):
+    """Every window of every template of every item against every window of every text."""
+
+    def template(marked, k):
+        return ["#" + kind if kind in ("n", "u") else "#a" if kind == "a" and k < 2 or kind == "f" and k == 1 else w for w, kind in marked]
+
+    found = {}
+    for item_id, item in items:
+        mine = plain_marked(item)
+        if len(mine) < 4:
+            continue
+        width = min(8, len(mine))
+        n = len(mine) - width + 1
+        for d, text in enumerate(texts):
+            theirs = plain_marked(text)
+            met = {}
+            for ki in range(3):
+                a = template(mine, ki)
+                for kd in range(3):
+                    b = template(theirs, kd)
+                    for i in range(n):
+                        window = a[i : i + width]
+                        if ki == 1 and sum(not w.startswith("#") for w in window) * 3 < width:
+                            continue
+                        for j in range(len(b) - width + 1):
+                            if b[j : j + width] == window:
+                                slots = tuple((w + mine[i + p][0], w + theirs[j + p][0]) for p, w in enumerate(window) if w.startswith("#"))
+                                same = [w for w, _ in mine[i : i + width]] == [w for w, _ in theirs[j : j + width]]
+                                met.setdefault(j - i, set()).add((i, same, slots))
+            covered = set()
+            for windows in met.values():
+                pairs = {s for _, _, slots in windows for s in slots}
+                clear = {s for s in pairs if not any((r[0] == s[0]) != (r[1] == s[1]) for r in pairs)}
+                covered |= {i for i, same, slots in windows if same or set(slots) <= clear}
+            if len(covered) / n >= 0.25:
+                found[d, item_id] = len(covered)
+    return found
+
+
+def question(rng):
+    names, verbs = rng.sample("Tom Anna Paul Mary Alice Robert Carla".split(), 2), rng.sample("buys sells finds paints carries".split(), 2)
+    things = rng.sample("apples boxes lamps chairs tickets stones".split(), 2)
+    numbers, unit = rng.sample(range(2, 4000), 3), rng.choice(["km", "kg", "hours", "dollars"])
+    fixed = " ".join(rng.choice("quick brown old small heavy rare plain green round".split()) for _ in range(3))
+    form = "{a} {v} {x} {t} near the {f} mill. {b} {w} {y} {s} there after {z} {u}. How many {t} does {a} have left when {b} goes home?"
+    keys = {"v": verbs[0], "w": verbs[1], "t": things[0], "s": things[1], "f": fixed}
+
+    def filled(names, numbers, unit, style=str):
+        return style(form.format(a=names[0], b=names[1], x=numbers[0], y=numbers[1], z=numbers[2], u=unit, **keys))
+
+    return filled, names, numbers, unit
+
+
+def test_decontamination_against_all_windows(spark):
+    """Re-parameterised questions with other names, numbers of any form and units, and some that are not consistent."""
+    rng = random.Random(12)
+    items, texts, want = [], [], set()
+    for i in range(6):
+        filled, names, numbers, unit = question(rng)
+        items.append((i, filled(names, numbers, unit)))
+        others = rng.sample("Peter Susan Oliver Emma Lukas".split(), 2)
+        forms = [[f"{n:,}" for n in rng.sample(range(5, 9000), 3)], [f"{n}.5" for n in rng.sample(range(5, 90), 3)]]
+        copies = [filled(others, forms[0], "km"), filled(others, forms[1], "km"), filled(names, numbers, unit, str.lower), filled(names, numbers, unit, str.upper), filled(names, numbers, unit, str.title)]
+        copies += [f"{sentence(rng, 9)} {copies[0]} {sentence(rng, 9)}", f"Question: \"{copies[1]}\"", filled(others, [7, 7, 7], "kg"), filled([others[0]] * 2, forms[0], "km")]
+        for c in copies:
+            want.add((len(texts), i)) if copies.index(c) < 7 else None
+            texts.append(c)
+        texts.append(filled(others, forms[0], "km").replace("mill", "house").replace("many", "much").replace("there", "here"))
+    texts += [sentence(rng, 60) for _ in range(10)]
+    got = {(r["doc_id"], r["item_id"]): r["n_windows"] for r in contaminated(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == plain_leaks(texts, items)
+    assert len(want & set(got)) >= 0.9 * len(want)
+
+
+def test_an_item_many_times_in_one_text(spark):
+    texts = [ITEMS + ". ", (ITEMS + ". ") * 1500]
+    docs, items = docs_of(spark, texts), spark.createDataFrame([(1, ITEMS)], "item_id long, text string")
+    contaminated(docs.limit(1), items).collect()
+    began = time.perf_counter()
+    assert {(r["doc_id"], r["coverage"]) for r in contaminated(docs, items).collect()} == {(0, 1.0), (1, 1.0)}
+    assert time.perf_counter() - began < 60
+
+
 def test_decontamination_beyond_the_broadcast(spark, monkeypatch):
     from tallyworks.llm import decontaminate
 

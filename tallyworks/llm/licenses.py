@@ -1,60 +1,42 @@
 """Licence scans with a positional index of rare words.
 
-Every template is indexed under its words of highest inverse document frequency,
-which is counted over all documents. A file's occurrences of those words give
-(template, offset) postings; where at least two rare words agree on an offset, the
-template's words are compared at that place and its mandatory key phrases are
-checked. Three fixed phrases are found besides, wherever they stand.
+The postings of the index are (word, notice, place), for each notice's words of
+highest inverse document frequency, which is counted over all documents. A file's
+occurrences of those words are joined with the postings; each gives an offset at
+which the notice would stand. Offsets on which rare words agree are looked at: the
+notice's words are compared there and its mandatory key phrases are checked. Three
+fixed phrases are found besides, wherever they stand.
+
+A text's licence words are found in one reading, which keeps their places. Only texts
+with an agreed offset are read again, once each, and no text meets another.
 
 Results by case: a null text counts as empty; a text without licence words has
-no labels, score 0 and null first_word and last_word. Equal rows give equal
-results, and a null doc_id stays null. An empty table gives no rows. Only doc_id
-and text are read, so other columns can have any name.
+no labels, score 0 and null first_word and last_word. Rows that repeat doc_id and
+text are looked up once and give equal results, and a null doc_id stays null. Of two
+notices of one label, or two places, the better share counts; of rare words with
+equal frequencies the first by name is indexed. An empty table gives no rows. Only
+doc_id and text are read, so other columns can have any name.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bloom import ask_bloom, blocked_bloom, row_keys
 from .common import durable
+from .license_texts import COMMON, NOTICES
 
-#: Words of a lower-cased text, and the base phrases with their labels.
+#: Words of a lower-cased text; the base phrases, their rarest words' places and their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-
-#: (label, template, mandatory key phrases)
-TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0", ("apache license",)),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "binary forms")),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted", "free of charge")),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-)
-#: Words that are never indexed: too frequent in any text.
-COMMON = frozenset("0 2 3 4 a and any are by copy in is of or source subject the this to under use v version with without".split())
-RARE_OF_TEMPLATE = 3
+PHRASES = (("cc by", 0, "cc-by"), ("general public license", 2, "gpl"), ("all rights reserved", 2, "reserved"))
+
+RARE_OF_NOTICE = 3
 AGREEING = 2
 LEAST_SHARE = 0.6
-#: Words kept on each side of an indexed word; no template is longer.
-REACH = 24
-
-
-def template_words() -> list[list[str]]:
-    return [t.split() for _, t, _ in TEMPLATES]
-
-
-def vocabulary() -> list[str]:
-    """The words that are looked for: those of templates and of base phrases, but for common ones."""
-    words = {w for t in template_words() for w in t} | {w for p, _ in PHRASES for w in p.split()}
-    return sorted(words - COMMON - {"all"})
+LONGEST = max(len(text.split()) for _, text, _ in NOTICES)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -62,129 +44,129 @@ def lower_ascii(text: Column) -> Column:
     return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ")))
 
 
-def _strings(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
 
-def licence_hits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words and hits: each licence word's place, with the words around it."""
-    listed = docs.select("doc_id", F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORD), F.lit(0)).alias("words"))
-    words, vocab = F.col("words"), _strings(vocabulary())
-    places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(vocab, w), i)), lambda i: i.isNotNull())
-
-    def around(i: Column) -> Column:
-        start = F.greatest(i - REACH, F.lit(0))
-        return F.struct(i.alias("at"), F.get(words, i).alias("word"), start.alias("start"), F.slice(words, start + 1, F.lit(2 * REACH + 1)).alias("near"))
 
-    hits = F.when(F.arrays_overlap(words, vocab), F.transform(places, around))
-    return listed.select("doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+def vocabulary() -> list[str]:
+    """The words that are looked for: those of notices but for common ones, and one of each base phrase."""
+    words = {w for _, text, _ in NOTICES for w in text.split()} - COMMON
+    return sorted(words | {text.split()[at] for text, at, _ in PHRASES})
 
 
-def _stands(hit: Column, phrase: list[str], anchor: int) -> Column:
-    """Whether the phrase stands in the text with its word ``anchor`` at the hit."""
-    first = hit["at"] - anchor
-    there = F.slice(hit["near"], F.greatest(first - hit["start"], F.lit(0)) + 1, F.lit(len(phrase))) == _strings(phrase)
-    return (hit["word"] == phrase[anchor]) & (first >= 0) & there
+def _strings(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
 
-def _phrase_places(hits: Column, text: str, label: str) -> Column:
+def _phrase_places(hits: Column, words: Column, text: str, anchor: int, label: str) -> Column:
     phrase = text.split()
-    anchor = next(i for i, w in enumerate(phrase) if w in vocabulary())
-    found = F.filter(hits, lambda h: _stands(h, phrase, anchor))
-    return F.transform(found, lambda h: F.struct((h["at"] - anchor).cast("long").alias("first"), F.lit(label).alias("label")))
-
-
-def base_places(hits: Column) -> Column:
-    """An array of (start, label) of the fixed phrases."""
-    return F.concat(*[_phrase_places(hits, text, label) for text, label in PHRASES])
-
-
-def rare_index(found: DataFrame) -> list[tuple[int, str, int]]:
-    """(template, word, place): each template under its words of highest IDF over all documents."""
-    seen = found.where("hits is not null").select(F.explode(F.array_distinct(F.col("hits.word"))).alias("word"))
-    files = {r["word"]: r["count"] for r in seen.groupBy("word").count().collect()}  # at most one row a vocabulary word
-    total = found.count()
-    vocab = set(vocabulary())
-    idf = {w: math.log((1 + total) / (1 + files.get(w, 0))) for w in vocab}
-    out = []
-    for t, words in enumerate(template_words()):
-        rare = sorted(set(words) & vocab, key=lambda w: (-idf[w], w))[:RARE_OF_TEMPLATE]
-        out += [(t, w, i) for i, w in enumerate(words) if w in rare]
-    return out
-
 
-def _offsets(hits: Column, word: str, places: list[int]) -> Column:
-    """The distinct offsets at which a template would stand by the occurrences of one of its words."""
-    at = F.transform(F.filter(hits, lambda h: h["word"] == word), lambda h: h["at"])
-    return F.array_distinct(F.concat(*[F.transform(at, lambda x: x - place) for place in places]))
+    def stands(hit: Column) -> Column:
+        first = hit["at"] - anchor
+        return (hit["word"] == phrase[anchor]) & (first >= 0) & (F.slice(words, F.greatest(first, F.lit(0)) + 1, F.lit(len(phrase))) == _strings(phrase))
 
+    return F.transform(F.filter(hits, stands), lambda h: F.struct((h["at"] - anchor).cast("long").alias("first"), F.lit(label).alias("label")))
 
-def _share(hits: Column, offset: Column, words: list[str], keys: tuple[str, ...], places: list[int]) -> Column:
-    """The share of the template's words that stand at the offset; 0 without its key phrases."""
-    index = F.array(*[F.lit(i) for i in places])
-    holder = F.get(F.filter(hits, lambda h: F.array_contains(index, h["at"] - offset)), 0)
-    span = F.slice(holder["near"], F.greatest(offset - holder["start"], F.lit(0)) + 1, F.lit(len(words)))
-    same = reduce(Column.__add__, [F.coalesce((F.get(span, i) == w).cast("int"), F.lit(0)) for i, w in enumerate(words)])
-    text = F.concat(F.lit(" "), F.array_join(span, " "), F.lit(" "))
-    verified = reduce(Column.__and__, [F.contains(text, F.lit(f" {k} ")) for k in keys])
-    return F.when(verified, same / len(words)).otherwise(0.0)
 
-
-def _best_share(hits: Column, template: int, index: list[tuple[int, str, int]]) -> Column:
-    _, text, keys = TEMPLATES[template]
-    places: dict[str, list[int]] = {}
-    for _, word, place in (x for x in index if x[0] == template):
-        places.setdefault(word, []).append(place)
-    every = F.concat(*[_offsets(hits, word, at) for word, at in places.items()])
-    need = min(AGREEING, len(places))
-    agreed = F.filter(F.array_distinct(every), lambda o: (o >= 0) & (F.size(F.filter(every, lambda x: x == o)) >= need))
-    all_places = [x for at in places.values() for x in at]
-    return F.array_max(F.transform(agreed, lambda o: _share(hits, o, text.split(), keys, all_places)))
-
-
-def aligned(hits: Column, index: list[tuple[int, str, int]]) -> Column:
-    """An array of (label, share) for each template that stands somewhere."""
-    shares = [F.struct(F.lit(TEMPLATES[t][0]).alias("label"), F.coalesce(_best_share(hits, t, index), F.lit(0.0)).alias("share")) for t in range(len(TEMPLATES))]
-    return F.filter(F.array(*shares), lambda x: x["share"] >= LEAST_SHARE)
+def licence_hits(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, n_words, hits (at, word) of the vocabulary and base (first, label) of the fixed phrases."""
+    words = docs.select("doc_id", *row_keys(), words_of(F.col("text")).alias("words"))
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(vocabulary()), i)), lambda i: i.isNotNull())
+    hits = F.transform(places, lambda i: F.struct(i.alias("at"), F.get("words", i).alias("word")))
+    read = words.withColumn("hits", hits)
+    base = F.concat(*[_phrase_places(F.col("hits"), F.col("words"), *p) for p in PHRASES])
+    return read.select("doc_id", "k1", "k2", F.size("words").cast("long").alias("n_words"), "hits", base.alias("base"))
+
+
+def notices(spark: SparkSession) -> DataFrame:
+    """notice (its number), label, words and keys of each notice: as many rows as NOTICES."""
+    rows = [(i, label, text.split(), list(keys)) for i, (label, text, keys) in enumerate(NOTICES)]
+    return spark.createDataFrame(rows, "notice int, label string, words array<string>, keys array<string>")
+
+
+def rare_index(found: DataFrame) -> DataFrame:
+    """word, notice, place, rank (from 0) and n_rare: each notice under its words of highest IDF over all documents.
+
+    The highest IDF is the least number of documents that have the word.
+    """
+    held = found.select("k1", F.explode(F.array_distinct(F.col("hits.word"))).alias("word"))
+    files = held.groupBy("word").agg(F.count_distinct("k1").alias("files"))  # at most one row a word of the vocabulary
+    placed = notices(found.sparkSession).select("notice", F.posexplode("words").alias("place", "word")).where(~F.col("word").isin(sorted(COMMON)))
+    counted = placed.join(files, "word", "left").withColumn("files", F.coalesce("files", F.lit(0)))
+    rank = F.dense_rank().over(Window.partitionBy("notice").orderBy("files", "word")) - 1
+    ranked = counted.withColumn("rank", rank).where(F.col("rank") < RARE_OF_NOTICE)
+    return ranked.withColumn("n_rare", F.max("rank").over(Window.partitionBy("notice")) + 1).select("word", "notice", "place", "rank", "n_rare")
+
+
+def agreed_offsets(found: DataFrame, index: DataFrame) -> DataFrame:
+    """k1, k2, notice and start: where rare words of a notice agree that it would stand."""
+    hits = found.select("k1", "k2", F.inline("hits"))
+    met = hits.join(F.broadcast(index), "word")  # RARE_OF_NOTICE words a notice, at a few places each
+    bit = F.call_function("shiftleft", F.lit(1), F.col("rank"))
+    told = met.groupBy("k1", "k2", "notice", "n_rare", (F.col("at") - F.col("place")).alias("start")).agg(F.bit_or(bit).alias("agree"))
+    return told.where((F.col("start") >= 0) & (F.bit_count("agree") >= F.least(F.lit(AGREEING), F.col("n_rare")))).select("k1", "k2", "notice", "start")
+
+
+def aligned(docs: DataFrame, found: DataFrame, index: DataFrame) -> DataFrame:
+    """k1, k2, labels and score of the texts in which a notice stands."""
+    wanted = durable(agreed_offsets(found, index)).groupBy("k1", "k2").agg(F.collect_list(F.struct("notice", "start")).alias("wanted"))  # a text's own offsets
+    asked = ask_bloom(docs.select(*row_keys(), "text"), "k1", blocked_bloom(wanted, "k1"), "maybe").where("maybe")
+    texts = asked.groupBy("k1", "k2").agg(F.min("text").alias("text")).join(wanted, ["k1", "k2"])
+
+    def cut(words: Column) -> Column:
+        return F.transform("wanted", lambda p: F.struct(p["notice"].alias("notice"), F.slice(words, p["start"] + 1, F.lit(LONGEST)).alias("span")))
+
+    # as an element the words are cut once, not at each offset
+    spans = texts.select("k1", "k2", F.inline(F.transform(F.array(words_of(F.col("text"))), cut)[0]))
+    both = spans.join(F.broadcast(notices(docs.sparkSession)), "notice").withColumn("span", F.slice("span", F.lit(1), F.size("words")))
+    padded = F.concat(F.lit(" "), F.array_join("span", " "), F.lit(" "))
+    verified = F.forall("keys", lambda k: F.contains(padded, F.concat(F.lit(" "), k, F.lit(" "))))
+    same = F.size(F.filter(F.zip_with("span", "words", lambda a, b: a == b), lambda x: x))
+    rated = both.where(verified).select("k1", "k2", "label", (same / F.size("words")).alias("share")).where(F.col("share") >= LEAST_SHARE)
+    return rated.groupBy("k1", "k2").agg(F.collect_set("label").alias("method"), F.max("share").alias("score"))  # as many labels as NOTICES
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """One row per document: its base places, its labels and the best template's share of matching words."""
+    """One row per document: its base places, its labels and the best notice's share of matching words."""
     found = durable(licence_hits(docs))
-    index = rare_index(found)
-    empty = F.array()
-    read = found.select("doc_id", "n_words", base_places(F.col("hits")).alias("base"), aligned(F.col("hits"), index).alias("method"))
-    first = F.transform("base", lambda p: p["first"])
-    base = F.coalesce(F.transform("base", lambda p: p["label"]), empty)
-    both = F.concat(base, F.coalesce(F.transform("method", lambda m: m["label"]), empty))
+    told = durable(aligned(docs, found, rare_index(found)))
+    first, empty = F.transform("base", lambda p: p["first"]), F.array().cast("array<string>")
 
     def joined(labels: Column) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
-    return read.select(
-        "doc_id",
-        "n_words",
-        F.coalesce(F.size("base"), F.lit(0)).cast("long").alias("n_base"),
-        F.array_min(first).alias("first_word"),
-        F.array_max(first).alias("last_word"),
-        joined(base).alias("base_labels"),
-        joined(both).alias("labels"),
-        F.coalesce(F.array_max(F.transform("method", lambda m: m["share"])), F.lit(0.0)).alias("score"),
-    )
-
-
-def scan_license_text(text: str | None, index: list[tuple[int, str, int]]) -> dict:
-    """The same for one text in plain Python, for tests."""
+    def shown(method: Column, score: Column) -> list[Column]:
+        base = F.transform("base", lambda p: p["label"])
+        return [
+            F.col("doc_id"),
+            F.col("n_words"),
+            F.size("base").cast("long").alias("n_base"),
+            F.array_min(first).alias("first_word"),
+            F.array_max(first).alias("last_word"),
+            joined(base).alias("base_labels"),
+            joined(F.concat(base, F.coalesce(method, empty))).alias("labels"),
+            F.coalesce(score, F.lit(0.0)).alias("score"),
+        ]
+
+    # only rows of texts in which a notice may stand move
+    asked = ask_bloom(found.select("doc_id", "k1", "k2", "n_words", "base"), "k1", blocked_bloom(told, "k1"), "maybe")
+    clear = asked.where("not maybe").select(*shown(empty, F.lit(0.0)))
+    # a second hash makes both sides shuffle, so that a text with very many rows can be split
+    met = asked.where("maybe").join(told, ["k1", "k2"], "left")
+    return clear.unionByName(met.select(*shown(F.col("method"), F.col("score"))))
+
+
+def scan_license_text(text: str | None, rare: dict[int, set[str]]) -> dict:
+    """The same for one text in plain Python, for tests; ``rare`` has each notice's indexed words."""
     words = re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    places = sorted((i, label) for p, label in PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+    places = sorted((i, label) for p, _, label in PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
     shares = {}
-    for t, (label, _, keys) in enumerate(TEMPLATES):
-        plain = template_words()[t]
-        rare = {w for k, w, _ in index if k == t}
-        for o in range(len(words)):
-            agree = {w for k, w, i in index if k == t and o + i < len(words) and words[o + i] == w}
-            span = words[o : o + len(plain)]
-            if len(agree) >= min(AGREEING, len(rare)) and all(f" {k} " in f" {' '.join(span)} " for k in keys):
+    for n, (label, notice, keys) in enumerate(NOTICES):
+        plain = notice.split()
+        for start in range(len(words)):
+            span = words[start : start + len(plain)]
+            agree = {a for a, b in zip(span, plain, strict=False) if a == b and a in rare[n]}
+            if len(agree) >= min(AGREEING, len(rare[n])) and all(f" {k} " in f" {' '.join(span)} " for k in keys):
                 share = sum(a == b for a, b in zip(span, plain, strict=False)) / len(plain)
                 if share >= LEAST_SHARE:
                     shares[label] = max(share, shares.get(label, 0))

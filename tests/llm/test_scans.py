@@ -11,6 +11,7 @@ import pytest
 import corpus_pipeline
 from tallyworks.llm import quality
 from tallyworks.llm.decontaminate import contaminated
+from tallyworks.llm.license_texts import NOTICES
 from tallyworks.llm.licenses import licence_hits, rare_index, scan_license_text, scan_licenses
 from tallyworks.llm.quality import rate_quality
 from tallyworks.llm.secret_scan import scan_secrets
@@ -60,14 +61,35 @@ def test_licenses(spark):
         "Kcc by", "xcc by ccc by cc bye", "GNU General Public Licence version 3 license", "licensed under CC BY-NC 4.0", sentence(rng, 100) + " released under the mit license", "This work is licensed under the GNU General Public License, version 3.",
     ] + [sentence(rng, 60) for _ in range(20)]
     docs = docs_of(spark, texts)
-    index = rare_index(licence_hits(docs))
+    rare = {i: set() for i in range(len(NOTICES))}
+    for r in rare_index(licence_hits(docs)).collect():
+        rare[r["notice"]].add(r["word"])
     got = {r["doc_id"]: r.asDict() for r in scan_licenses(docs).collect()}
     for i, t in enumerate(texts):
-        want = scan_license_text(t, index)
+        want = scan_license_text(t, rare)
         assert {k: got[i][k] for k in want} == want, t
     assert got[5]["labels"] == "mit" and got[10]["labels"] == "cc-by,cc-by-nc-4.0" and got[12]["labels"] == "gpl,gpl-3.0"
 
 
+def test_every_notice_and_long_texts(spark):
+    rng = random.Random(15)
+    texts = [f"{sentence(rng, 20)} {notice.title()}, {sentence(rng, 20)}" for _, notice, _ in NOTICES]
+    mixed = [w for _, notice, _ in NOTICES for w in notice.split()]
+    texts += [" ".join(rng.choice(mixed) for _ in range(20000)), " ".join(n for _, n, _ in NOTICES for _ in range(15))]
+    texts += [" ".join(w if rng.random() < 0.85 else "other" for w in n.split()) for _, n, _ in NOTICES for _ in range(2)]
+    docs = docs_of(spark, texts)
+    rare = {i: set() for i in range(len(NOTICES))}
+    for r in rare_index(licence_hits(docs)).collect():
+        rare[r["notice"]].add(r["word"])
+    assert all(1 <= len(words) <= 3 for words in rare.values())
+    got = {r["doc_id"]: r.asDict() for r in scan_licenses(docs).collect()}
+    for i, t in enumerate(texts):
+        want = scan_license_text(t, rare)
+        assert {k: got[i][k] for k in want} == want, t[:500]
+    for i, (label, _, _) in enumerate(NOTICES):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+
+
 ITEMS = "A train travels 60 km in 2 hours with Alice and then 60 km more how fast is it on average"
 
 

@@ -55,12 +55,13 @@ LITERAL_OF = 3
 
 def marked_words(text: Column) -> Column:
     """The words in lower case; a number is one word, the letters behind it are another, and names, numbers and units have a mark before them."""
-    apart = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9])(?=\p{L})", " ")
-    whole = F.regexp_replace(apart, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
-    joined = F.regexp_replace(whole, r"(?<=[0-9])[.,](?=[0-9])", POINT)
-    named = F.regexp_replace(joined, r"(?<=\p{Ll},? )(\p{Lu}\p{Ll}+)", f"{NAME}$1")
-    named = F.regexp_replace(named, rf"(?<!{LETTER})(\p{{Lu}}\p{{Ll}}+)(?!{LETTER})", f"{FIRST}$1")
-    numbered = F.regexp_replace(F.lower(named), rf"(?<!{WORD[:-1]})([0-9]+(?:{POINT}[0-9]+)*){NO_WORD}", f"{NUMBER}$1")
+    # each pattern begins with what it takes, which is rare, and looks back from there
+    apart = F.regexp_replace(F.coalesce(text, F.lit("")), r"([0-9])(?=\p{L})", "$1 ")
+    whole = F.regexp_replace(apart, r",(?<=[0-9],)(?=[0-9]{3}(?![0-9]))", "")
+    joined = F.regexp_replace(whole, r"[.,](?<=[0-9][.,])(?=[0-9])", POINT)
+    named = F.regexp_replace(joined, r"(\p{Lu}(?<=\p{Ll},? \p{Lu})\p{Ll}+)", f"{NAME}$1")
+    named = F.regexp_replace(named, rf"(\p{{Lu}}(?<!{LETTER}\p{{Lu}})\p{{Ll}}+)(?!{LETTER})", f"{FIRST}$1")
+    numbered = F.regexp_replace(F.lower(named), rf"([0-9](?<!{WORD[:-1]}[0-9])[0-9]*(?:{POINT}[0-9]+)*){NO_WORD}", f"{NUMBER}$1")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     measured = F.regexp_replace(numbered, rf"({NUMBER}[0-9{POINT}]+ )[{NAME}{FIRST}]?({units}){NO_WORD}", f"$1{UNIT}$2")
     return F.regexp_extract_all(measured, F.lit(WORD), F.lit(0))
@@ -80,52 +81,69 @@ def _template(word: Column, kind: int) -> Column:
     return measured.otherwise(_plain(word))
 
 
+TEMPLATES = ("one", "two", "three")
+
+
 def _hashes(words: Column, kind: int) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(_template(w, kind)))
+    """The hash of each word in a template; words without a mark are most, and are not looked at further."""
+    return F.transform(words, lambda w: F.when((w < NAME) | (w > POINT), F.xxhash64(w)).otherwise(F.xxhash64(_template(w, kind))))
+
+
+def _joined(left: Column, right: Column, start: int) -> Column:
+    """The hash of each pair (element of ``left``, element of ``right`` that stands ``start`` further)."""
+    later = F.slice(right, F.lit(start + 1), F.size(right))
+    return F.zip_with(F.slice(left, F.lit(1), F.greatest(F.size(right) - start, F.lit(0))), later, lambda a, b: F.xxhash64(a, b))
+
 
+def _window_hashes(hashes: Column, width: int) -> Column:
+    """The hash of each window of words: that of its two parts, of which the first is a power of two wide."""
+    if width == 1:
+        return hashes
+    first = 1 << ((width - 1).bit_length() - 1)
+    # as elements the parts are worked out once
+    if 2 * first == width:
+        return F.transform(F.array(_window_hashes(hashes, first)), lambda h: _joined(h, h, first))[0]
+    parts = F.struct(_window_hashes(hashes, first).alias("left"), _window_hashes(hashes, width - first).alias("right"))
+    return F.transform(F.array(parts), lambda p: _joined(p["left"], p["right"], first))[0]
 
-def _windows(words: Column, widths: list[int]) -> Column:
-    """The place and hash of each window, in the first template and where they differ in the others."""
 
-    def of_width(t: Column, width: int) -> Column:
-        def cut(kind: str, i: Column) -> Column:
-            return F.slice(t[kind], i + 1, F.lit(width))
+def windows(words: Column, widths: list[int]) -> Column:
+    """An array of (at, one, two, three): each window's place and its hash in the three templates."""
 
-        def at(kind: str, places: Column) -> Column:
-            return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(cut(kind, i)).alias("hash")))
+    def hashed(w: Column) -> Column:
+        return F.struct(*[_hashes(w, k).alias(c) for k, c in enumerate(TEMPLATES)])
 
-        last = F.size(t["one"]) - width
-        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        two = F.filter(places, lambda i: cut("one", i) != cut("two", i))
-        three = F.filter(places, lambda i: cut("one", i) != cut("three", i))
-        return F.concat(at("one", places), at("two", two), at("three", three))
+    def cut(h: Column) -> Column:
+        every = []
+        for width in widths:
+            places = F.sequence(F.lit(0), F.size(h["one"]) - width).alias("at")
+            some = F.arrays_zip(places, *[_window_hashes(h[c], width).alias(c) for c in TEMPLATES])
+            every.append(F.when(F.size(h["one"]) >= width, some).otherwise(F.array().cast("array<struct<at:int,one:bigint,two:bigint,three:bigint>>")))
+        return F.concat(*every)
 
-    # as an element the hashes of the words are made once, not at each window
-    kinds = F.struct(*[_hashes(words, k).alias(c) for k, c in enumerate(("one", "two", "three"))])
-    return F.transform(F.array(kinds), lambda t: F.concat(*[of_width(t, w) for w in widths]))[0]
+    # as elements the words and their hashes are worked out once
+    return F.transform(F.transform(F.array(words), hashed), cut)[0]
 
 
 def item_windows(items: DataFrame) -> DataFrame:
     """item_id, width, at, n_windows, window (its hash), plain (the hash of its words) and slots (place, mark, value) of each window."""
     read = items.where("item_id is not null").select("item_id", marked_words(F.col("text")).alias("words"))
     sized = read.where(F.size("words") >= LEAST_WORDS).withColumn("width", F.least(F.size("words"), F.lit(WINDOW)))
-    last = F.size("words") - F.col("width")
-    cut = sized.select("item_id", "words", "width", (last + 1).alias("n_windows"), F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    cut = cut.select("item_id", "width", "n_windows", "at", F.slice("words", F.col("at") + 1, F.col("width")).alias("cut"))
-    plain = F.xxhash64(F.transform("cut", lambda w: F.xxhash64(_plain(w)))).alias("plain")
+    every = None
+    for width in range(LEAST_WORDS, WINDOW + 1):
+        cut = sized.where(F.col("width") == width).select("item_id", "words", "width", (F.size("words") - width + 1).alias("n_windows"), F.inline(windows(F.col("words"), [width])))
+        cut = cut.select("item_id", "width", "n_windows", "at", *TEMPLATES, F.slice("words", F.col("at") + 1, F.lit(width)).alias("cut"))
+        every = cut if every is None else every.unionByName(cut)
 
     def slots_of(kind: int) -> Column:
         named = F.transform("cut", lambda w, i: F.struct(i.alias("place"), _template(w, kind).alias("mark"), _plain(w).alias("value")))
         return F.filter(named, lambda s: s["mark"].isin(NAME, NUMBER, UNIT))
 
-    every = None
-    for kind in range(3):
-        slots = slots_of(kind).alias("slots")
-        one = cut.select("item_id", "width", "at", "n_windows", F.xxhash64(_hashes(F.col("cut"), kind)).alias("window"), plain, slots)
-        if kind == 1:
-            one = one.where((F.col("width") - F.size("slots")) * LITERAL_OF >= F.col("width"))
-        every = one if every is None else every.unionByName(one)
-    return every.distinct()
+    plain = F.xxhash64(F.transform("cut", lambda w: F.xxhash64(_plain(w)))).alias("plain")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("window"), slots_of(k).alias("slots")) for k, c in enumerate(TEMPLATES)])
+    told = every.select("item_id", "width", "n_windows", "at", plain, F.inline(kinds))
+    told = told.where((F.col("kind") != 1) | ((F.col("width") - F.size("slots")) * LITERAL_OF >= F.col("width")))
+    return told.drop("kind").distinct()
 
 
 def met_windows(docs: DataFrame, listed: DataFrame) -> DataFrame:
@@ -134,8 +152,12 @@ def met_windows(docs: DataFrame, listed: DataFrame) -> DataFrame:
     widths = sorted(r["width"] for r in listed.select("width").distinct().collect())  # WINDOW and fewer
     if not widths:
         return docs.select("doc_id", *row_keys(), F.lit(0).alias("doc_at")).limit(0).join(listed, F.lit(False))
-    read = docs.where("text is not null").select("doc_id", *row_keys(), F.explode(_windows(marked_words(F.col("text")), widths)).alias("w"))
-    cut = read.select("doc_id", "k1", "k2", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("doc_window"))
+    # the keys are made below the windows, so once a text
+    words = docs.where("text is not null").select("doc_id", *row_keys(), marked_words(F.col("text")).alias("words"))
+    read = words.select("doc_id", "k1", "k2", F.inline(windows(F.col("words"), widths)))
+    one_only = F.expr("one = two and one = three")
+    hashes = F.when(one_only, F.array("one")).otherwise(F.array_distinct(F.array(*TEMPLATES)))
+    cut = read.select("doc_id", "k1", "k2", F.col("at").alias("doc_at"), F.explode(hashes).alias("doc_window"))
     if total <= BROADCAST_WINDOWS:
         listed = F.broadcast(listed)
     else:

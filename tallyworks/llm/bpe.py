@@ -30,6 +30,15 @@ TOKENIZER = "word_bpe_49k.json"
 MEMORY_WORDS = 300_000
 #: Characters of text whose new words are merged in one flat array.
 BLOCK_CHARS = 2_000_000
+#: Fixed values: (first, last, what is added) of the letters that the library lower-cases and Python's tables don't.
+LOWERED = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B))
+#: Fixed values: (first, last) of code points that are letters or digits by the regex module's tables and not by the library's, which are older.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CF, 0xA7CF), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),
+    (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -91,6 +100,10 @@ class WordBpe:
             self.names[i] = name
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+        newer = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in NEWER)
+        self.newer = regex.compile(f"[{newer}]")
+        self.exact = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{newer}]]+|[\p{{N}}--[{newer}]]|[^\p{{White_Space}}[[\p{{L}}\p{{N}}]--[{newer}]]]+")
+        self.lowered = {c: c + n for a, b, n in LOWERED for c in range(a, b + 1)}
         self.memory: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
@@ -102,7 +115,11 @@ class WordBpe:
             elif part:
                 # lower case letter by letter: a final sigma has no form of its own
                 plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                words += self.words.findall(plain)
+                if plain.isascii():
+                    words += self.words.findall(plain)
+                else:
+                    plain = plain.translate(self.lowered)
+                    words += (self.exact if self.newer.search(plain) else self.words).findall(plain)
         return words
 
     def learn(self, words: list[str]) -> None:

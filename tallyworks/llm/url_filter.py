@@ -84,9 +84,11 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
 
 
 def listed_pages(pages: DataFrame, sites=LISTED_SITES) -> DataFrame:
-    """The URLs of all pages on the given sites."""
+    """The list of the query: of the URLs on the given sites those that a hash chooses, about half, each with another scheme and a tracking field."""
     on_site = reduce(Column.__or__, (F.contains(F.concat(F.lit("."), host_of(F.col("url"))), F.lit(f".{s}.")) for s in sites))
-    return pages.where(on_site).select("url")
+    chosen = F.substring(F.md5(F.col("url")), 1, 1) < "8"
+    own = F.regexp_replace(F.regexp_replace("url", "^[^:]*://", "ftp://"), "#.*$", "")
+    return pages.where(on_site & chosen).select(F.concat(own, F.when(F.contains(own, F.lit("?")), "&").otherwise("?"), F.lit("utm_source=list")).alias("url"))
 
 
 _SITES = " OR ".join(f"contains('.' || host, '.{s}.')" for s in LISTED_SITES)
@@ -105,7 +107,7 @@ forms AS (
                regexp_replace(host, '^www[.]', '') || regexp_replace(path, '(/|[.]html)$', '')
                || CASE WHEN len(fields) > 0 THEN '?' || array_to_string(fields, '&') ELSE '' END END AS canonical
     FROM parts),
-listed AS (SELECT DISTINCT canonical AS listed_url FROM forms WHERE canonical IS NOT NULL AND ({_SITES})),
+listed AS (SELECT DISTINCT canonical AS listed_url FROM forms WHERE canonical IS NOT NULL AND substring(md5(url), 1, 1) < '8' AND ({_SITES})),
 ruled AS (
     SELECT *, CASE {" ".join(f"WHEN {_FITS[r]} THEN '{r[1]}{r[2]}'" for r in _ORDER)} END AS rule,
               CASE {" ".join(f"WHEN {_FITS[r]} THEN '{r[0]}'" for r in _ORDER)} END AS ruling

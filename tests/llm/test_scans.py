@@ -1,6 +1,7 @@
 """Secrets, licences, leaks, URLs, quality and the pipeline."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -14,7 +15,7 @@ from tallyworks.llm.decontaminate import contaminated
 from tallyworks.llm.license_texts import NOTICES
 from tallyworks.llm.licenses import licence_hits, rare_index, scan_license_text, scan_licenses
 from tallyworks.llm.quality import rate_quality
-from tallyworks.llm.secret_scan import scan_secrets
+from tallyworks.llm.secret_scan import ALPHABET, LEAST_MEAN, LEAST_RATIO, UNSEEN, labelled_samples, scan_secrets
 from tallyworks.llm.url_filter import filter_urls
 
 from .data import docs_of, sentence
@@ -53,6 +54,48 @@ def test_secrets(spark):
     assert not any(got[i]["n_markov"] for i in range(n + 43, len(texts)))
 
 
+def test_the_models_decide(spark):
+    """Ratios worked out anew in plain Python; random tokens of other alphabets and lengths than any seen; identifiers and long words."""
+    rng = random.Random(31)
+    words = "license harbour window garden letter number station morning building language nothing question remember together children mountain another thousand yesterday themselves people water before great because through different without example important between country several against always picture problem system quickly village figure machine simple general company minute".split()
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ",", "."]) for _ in range(80)) for _ in range(40)]
+    alphabets = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "both": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "all": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"}
+    kinds = [(k, "".join(rng.choice(a) for _ in range(n))) for k, a in alphabets.items() for n in (16, 20, 27, 40) for _ in range(10)]
+    secrets = [(k, t) for k, t in kinds if not re.search("[0-9a-f]{24}", t)]
+    ordinary = ["_".join(rng.sample(words, 3)) for _ in range(40)] + ["".join(w.title() for w in rng.sample(words, 3)) for _ in range(40)] + ["/".join(rng.sample(words, 4)) + "_2024" for _ in range(40)]
+    texts += [f"é see {t} there" for _, t in secrets] + [f"é see {t} there" for t in ordinary]
+    docs = docs_of(spark, texts)
+    samples = [(r["token"], r["random"]) for r in labelled_samples(docs).collect()]
+    assert not {t for t, k in samples if k} & {t for _, t in secrets}
+    counts = [{}, {}]
+    for token, kind in samples:
+        for a, b in zip(token, token[1:], strict=False):
+            counts[kind].setdefault(a, {})
+            counts[kind][a][b] = counts[kind][a].get(b, 0) + 1
+
+    def ratio(token):
+        n = len(ALPHABET) + 1
+        logs = [sum(math.log((c.get(a, {}).get(b, 0) + UNSEEN) / (sum(c.get(a, {}).values()) + UNSEEN * n)) for a, b in zip(token, token[1:], strict=False)) for c in counts]
+        return logs[1] - logs[0]
+
+    got = [r["spans"] for r in scan_secrets(docs).orderBy("doc_id").collect()]
+    found = {}
+    for i, (kind, token) in enumerate([*secrets, *(("ordinary", t) for t in ordinary)]):
+        told = ratio(token) >= max(LEAST_RATIO, LEAST_MEAN * len(token))
+        assert got[40 + i] == (f"markov:6:{6 + len(token)}" if told else ""), token
+        found.setdefault(kind, []).append(told)
+    assert not any(got[:40]) and not any(found.pop("ordinary"))
+    assert all(sum(f) >= 0.9 * len(f) for f in found.values()), found
+
+
+def test_many_spans_in_one_text(spark):
+    rng = random.Random(32)
+    text = " ".join(rng.choice(["x ", "ö", "token=abcdefgh", "deadbeef" * 4, "é 😀"]) for _ in range(20000))
+    row = scan_secrets(docs_of(spark, [text])).first()
+    want = base_spans(text)
+    assert row["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest() and len(want) > 5000
+
+
 def test_licenses(spark):
     rng = random.Random(5)
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"

@@ -64,3 +64,20 @@ def test_round_trip(spark):
         assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
         assert full[i]["ids"] == ids and full[i]["decoded"] == decoded
+
+
+def test_every_code_point():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from tallyworks.llm.bpe import TOKENIZER, WordBpe
+    from tallyworks.llm.token_counts import tokenizer_file
+
+    path = tokenizer_file(TOKENIZER)
+    library, own = Tokenizer.from_file(path), WordBpe(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}1b " for c in points[i : i + 16]) for i in range(0, len(points), 16)]
+    for i in range(0, len(texts), 10000):
+        some = texts[i : i + 10000]
+        want = library.encode_batch(some, add_special_tokens=False)
+        assert [ids for ids in own.encode(some)] == [np.array(w.ids, "<u4").tobytes() for w in want]

@@ -54,7 +54,7 @@ def section_of(matches: DataFrame, sections: DataFrame, within: int | None = Non
 
 def word_positions(docs: DataFrame, word: str) -> DataFrame:
     """doc_id, match_id and pos (from 0) of a literal text in the column ``text``: the stretches between matches are counted up."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", re.escape(word))).alias("match_id", "stretch"))
+    parts = docs.select("doc_id", F.posexplode(F.split("text", rf"\Q{word}\E")).alias("match_id", "stretch"))
     upto = Window.partitionBy("doc_id").orderBy("match_id").rowsBetween(Window.unboundedPreceding, 0)
     pos = F.sum(F.length("stretch")).over(upto) + F.col("match_id") * len(word)
     last = F.max("match_id").over(Window.partitionBy("doc_id"))

@@ -97,10 +97,17 @@ def verify(claims: DataFrame, news: DataFrame, as_of: str) -> DataFrame:
     items = news.select("item_id", "ticker", "source_rank", F.to_date("published_at").alias("day"), F.array_distinct(title_words(F.col("ticker"), F.col("title"))).alias("words"))
     n = F.size("claim_words")
     need = F.when(n <= 2, n).otherwise(F.ceil(0.67 * n))
-    met = wanted.join(items, "ticker", "left").withColumn("supports", (n > 0) & (F.size(F.array_intersect("claim_words", "words")) >= need))
-    inside = F.col("supports") & F.col("day").between(F.col("start"), F.col("end"))
-    old = F.col("supports") & (F.col("day") < F.date_sub(F.lit(as_of).cast("date"), 90))
-    out = met.groupBy("claim_id").agg(F.count_if(inside & (F.col("source_rank") == 0)).alias("official"), F.count_if(inside).alias("in_window"), F.count_if("supports").alias("support"), F.count_if(old).alias("old"))
+    # a claim meets only the items of its ticker that share a word with it
+    asked = wanted.select("claim_id", "ticker", "start", "end", need.alias("need"), F.explode("claim_words").alias("word"))
+    told = items.select("item_id", "ticker", "source_rank", "day", F.explode("words").alias("word"))
+    shared = asked.join(told, ["ticker", "word"]).groupBy("claim_id", "start", "end", "need", "item_id", "source_rank", "day").agg(F.count("*").alias("n_shared"))
+    met = shared.where(F.col("n_shared") >= F.col("need"))
+    inside = F.col("day").between(F.col("start"), F.col("end"))
+    old = F.col("day") < F.date_sub(F.lit(as_of).cast("date"), 90)
+    counts = ("official", inside & (F.col("source_rank") == 0)), ("in_window", inside), ("support", F.lit(True)), ("old", old)
+    found = met.groupBy("claim_id").agg(*[F.count_if(c).alias(name) for name, c in counts])
+    every = wanted.select("claim_id").distinct().join(found, "claim_id", "left")
+    out = every.select("claim_id", *[F.coalesce(name, F.lit(0).cast("long")).alias(name) for name, _ in counts])
     status = F.when(F.col("official") > 0, "CONFIRMED").when(F.col("in_window") > 0, "PARTIAL").when((F.col("support") > 0) & (F.col("support") == F.col("old")), "STALE").otherwise("NOT_FOUND")
     return out.withColumn("status", status)
 
@@ -118,5 +125,5 @@ def title_overlap(news: DataFrame) -> DataFrame:
 def mentions_ticker(text: Column, ticker: str, exchanges: tuple[str, ...]) -> Column:
     """Whether a ticker stands as a word, but not behind another exchange's prefix."""
     allowed = "|".join(exchanges)
-    own = text.rlike(rf"(?<![A-Za-z0-9:.-]){ticker}(?![A-Za-z0-9-])")
-    return own | text.rlike(rf"(?<![A-Za-z])(?:{allowed}): ?{ticker}(?![A-Za-z0-9-])")
+    own = text.rlike(rf"(?<![A-Za-z0-9:.-])\Q{ticker}\E(?![A-Za-z0-9-])")
+    return own | text.rlike(rf"(?<![A-Za-z])(?:{allowed}): ?\Q{ticker}\E(?![A-Za-z0-9-])")

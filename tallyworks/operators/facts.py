@@ -48,7 +48,7 @@ def period_band(facts: DataFrame) -> DataFrame:
 
 
 def near_filing(facts: DataFrame, filings: DataFrame, days: int = 10) -> DataFrame:
-    """For each filing its key's facts filed within some days, or the nearest fact's date if there is none.
+    """For each filing how many of its key's facts were filed within some days, and the first such date (null if there is none).
 
     The interval join is an equi-join on the key and the week, with each filing copied
     to the weeks its interval touches.

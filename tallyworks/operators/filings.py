@@ -69,8 +69,12 @@ UNITS = (("billions", 1e9), ("thousands", 1e3), ("millions", 1e6))
 
 
 def cell_number(cell: Column) -> Column:
-    plain = F.regexp_replace(cell, r"[$,\s]", "")
-    return F.when(plain.rlike(r"^\(?-?[0-9]+([.][0-9]+)?\)?$"), F.regexp_replace(plain, "[()]", "").cast("double"))
+    """The number of a cell, or null: brackets are a minus sign, K, M and B are factors, and a percent sign is left out."""
+    plain = F.upper(F.regexp_replace(cell, r"[$,%\s]", ""))
+    signed = F.regexp_replace(plain, r"^\((.*)\)$", "-$1")
+    number, suffix = (F.regexp_extract(signed, r"^(-?[0-9]*[.]?[0-9]+[.]?)([KMB]?)$", i) for i in (1, 2))
+    factor = F.when(suffix == "B", 1e9).when(suffix == "M", 1e6).when(suffix == "K", 1e3).otherwise(1.0)
+    return F.when(number != "", number.try_cast("double") * factor)
 
 
 def region_revenue(docs: DataFrame, region: str) -> DataFrame:

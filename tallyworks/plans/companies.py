@@ -131,7 +131,10 @@ def region_revenue_html(spark, sf_dir):
 
 def _streamed(stream, name, mode="append"):
     """A bounded run over what there is; rows and state go to a new folder where the cluster keeps checkpoints."""
-    shared = stream.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = stream.sparkSession.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir")
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir: a folder that all executors share is needed on a cluster")
     folder = f"{shared}/{name}-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix=name)
     return W.run_available(stream, folder, mode)
 

@@ -228,7 +228,7 @@ TERMS = ("earnings beat", "raises guidance", "signs contract", "debt offering",
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News items: item_id, ticker, source, source_rank, title, published_at. Titles are the documents' first lines with a topic."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", F.substring_index(F.col("text"), "\n", 1).alias("line"), F.xxhash64("doc_id").alias("unused")).drop("unused")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.substring_index(F.col("text"), "\n", 1).alias("line"))
     e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     n = len(TERMS)
     topic = F.element_at(F.array(*[F.lit(t) for t in TERMS]), (F.col("doc_id") % n + 1).cast("int"))
@@ -238,7 +238,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("T"), (F.col("user_id") % 25).cast("string")).alias("ticker"),
         F.element_at(F.array(*[F.lit(s) for s in SOURCES]), rank + 1).alias("source"),
         rank.alias("source_rank"),
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.left("line", F.lit(60)), F.lit(" "), topic)).otherwise(F.left("line", F.lit(80))).alias("title"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat("line", F.lit(" "), topic)).otherwise(F.col("line")).alias("title"),
         F.col("ts").alias("published_at"),
     )
 
@@ -249,7 +249,7 @@ NEWS_SQL = f"""
 news AS (
     SELECT doc_id AS item_id, 'T' || CAST(user_id % 25 AS VARCHAR) AS ticker, {_SOURCE_LIST}[doc_id % 4 + 1] AS source,
            CAST(doc_id % 4 AS INTEGER) AS source_rank,
-           CASE WHEN doc_id % 3 = 0 THEN left(line, 60) || ' ' || {_TERM_LIST}[doc_id % {len(TERMS)} + 1] ELSE left(line, 80) END AS title,
+           CASE WHEN doc_id % 3 = 0 THEN line || ' ' || {_TERM_LIST}[doc_id % {len(TERMS)} + 1] ELSE line END AS title,
            ts AS published_at
     FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) JOIN events ON doc_id = event_id)"""
 

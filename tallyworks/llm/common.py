@@ -15,10 +15,12 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared checkpoint folder and read it back.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is set only where there is none, as in local tests.
+    temporary one is set only where there is none and the master is local, as in tests.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir: a folder that all executors share is needed on a cluster")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()

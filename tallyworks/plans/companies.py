@@ -155,3 +155,12 @@ def stream_windows(spark, sf_dir):
 def stream_flow_state(spark, sf_dir):
     rows = _streamed(W.flow_state(W.event_stream(spark, sf_dir)), "stream_flow_state")
     return rows.select("user_id", F.col("readings").cast("int").alias("readings"), F.round(F.col("volume") * 100).cast("long").alias("cents"))
+
+
+@query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS "start", strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(spark, sf_dir):
+    events = read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    times = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")]
+    return W.sessions(events).select("user_id", *times, "n")

@@ -177,3 +177,11 @@ def test_sections_as_of(spark):
     sections = spark.createDataFrame([(1, 10, "a"), (1, 40, "b")], "doc_id long, start int, section string")
     got = {(r["doc_id"], r["match_id"]): r["section"] for r in documents.section_of(found, sections, 100).collect()}
     assert got == {(1, 0): None, (1, 1): "b", (1, 2): None, (2, 0): None}
+
+
+def test_cell_numbers(spark):
+    from tallyworks.operators.filings import cell_number
+
+    want = {"(123)": -123.0, "$ 2.5B": 2.5e9, "12%": 12.0, "1,234.5": 1234.5, "-7": -7.0, "3m": 3e6, "4K": 4e3, "$(1,000)": -1000.0, "n/a": None, "": None, "B": None}
+    cells = spark.createDataFrame([(c,) for c in want], "cell string")
+    assert {r["cell"]: r["n"] for r in cells.select("cell", cell_number(cells["cell"]).alias("n")).collect()} == want

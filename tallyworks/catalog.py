@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analyst, companies, documents, events, facts, fundamentals, funds, options, technicals
+from .plans import analyst, companies, documents, events, evidence, facts, fundamentals, funds, options, technicals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (technicals, fundamentals, options, analyst, events, facts, documents, funds, companies):
+for module in (technicals, fundamentals, options, analyst, events, evidence, facts, documents, funds, companies):
     QUERIES |= module.GROUP.queries
     ORACLE_SQL |= module.GROUP.oracle_sql

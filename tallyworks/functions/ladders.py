@@ -69,3 +69,44 @@ def freshness(age_hours: Column, is_weekend: Column, is_friday_data: Column) ->
         .when(age_hours <= 168, "STALE")
         .otherwise("VERY_STALE")
     )
+
+
+def target_lag(target: Column, price: Column, upgrades: Column) -> Column:
+    """Whether a consensus target under the price lags behind upgrades of the last month."""
+    known = target.isNotNull() & price.isNotNull()
+    return F.when(~known, "UNKNOWN").when(target >= price, "CURRENT").when(upgrades > 0, "LIKELY_STALE_OR_LAGGING").otherwise("POSSIBLY_STALE")
+
+
+def forward_revision(pct_7: Column, pct_30: Column, pct_90: Column) -> tuple[Column, Column]:
+    """The signal of the estimates' revisions and what it rests on: 30 days (7 if those are neutral), else 7, else 90."""
+    month, week, season = (F.coalesce(ladder(p, [("<=", -3, "NEGATIVE"), (">=", 3, "POSITIVE")], "NEUTRAL"), F.lit("UNKNOWN")) for p in (pct_30, pct_7, pct_90))
+    by_week = (month == "NEUTRAL") & week.isin("NEGATIVE", "POSITIVE")
+    signal = F.when(by_week, week).when(month != "UNKNOWN", month).when(week != "UNKNOWN", week).otherwise(season)
+    driver = F.when(by_week, "30d_neutral_7d").when(pct_30.isNotNull(), "30d").when(pct_7.isNotNull(), "7d").when(pct_90.isNotNull(), "90d_fallback").otherwise("none")
+    return signal, driver
+
+
+def overnight_stale(session: Column, age_hours: Column, hours_since_end: Column) -> Column:
+    """An active session is stale after two hours, an ended one twelve hours after its end, any other always."""
+    return F.coalesce(F.when(session == "ACTIVE", age_hours > 2).when(session == "ENDED", hours_since_end > 12), F.lit(True))
+
+
+def release_coverage(has_exhibit: Column, has_page: Column, without_exhibit: Column, releases: Column) -> Column:
+    """The best official source of releases that was met."""
+    return F.when(has_exhibit, "SEC_EX99_RESOLVED").when(has_page, "APPROVED_IR_PAGE_RESOLVED").when(without_exhibit > 0, "SEC_8K_FOUND_EX99_NOT_FOUND").when(releases > 0, "OFFICIAL_RELEASE_SOURCE_FOUND").otherwise("NO_OFFICIAL_RELEASE_SOURCE")
+
+
+def exposure_overall(revenue_status: Column, other_found: Column) -> Column:
+    """Revenue exposure first, then any other evidence, then why there is none."""
+    return F.when(revenue_status == "FOUND_REVENUE_EXPOSURE", revenue_status).when(other_found, "FOUND_NON_REVENUE_EXPOSURE").when(revenue_status.isin("NOT_DISCLOSED", "CONFLICTING"), revenue_status).otherwise("NOT_FOUND")
+
+
+def table_unit(text: Column) -> Column:
+    """The largest unit that a table or the text before it names."""
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    named = [F.when(F.contains(plain, F.lit(unit)), f"{unit}s") for unit in ("billion", "million", "thousand")]
+    return F.coalesce(*named, F.lit("unknown"))
+
+
+def table_confidence(has_years: Column, has_labels: Column, unit: Column) -> Column:
+    return F.when(has_years & has_labels & (unit != "unknown"), "HIGH").when(has_years | has_labels, "MEDIUM").otherwise("LOW")

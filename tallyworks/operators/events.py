@@ -86,13 +86,8 @@ def timeline(news: DataFrame, limit: int = 20) -> DataFrame:
     return rows.select("ticker", "position", "item_id", F.to_date("published_at").alias("day"), "event_type", "source")
 
 
-def verify(claims: DataFrame, news: DataFrame, as_of: str) -> DataFrame:
-    """What the news say of each claim (claim_id, ticker, text, start, end).
-
-    An item supports a claim if it has at least two thirds of its words (all of one or
-    two). Official support in the window confirms it, other support there confirms in
-    part, support of over 90 days ago only is stale.
-    """
+def claim_matches(claims: DataFrame, news: DataFrame) -> DataFrame:
+    """The items that support each claim: those with at least two thirds of its words (all of one or two)."""
     wanted = claims.withColumn("claim_words", F.array_distinct(title_words(F.col("ticker"), F.col("text"))))
     items = news.select("item_id", "ticker", "source_rank", F.to_date("published_at").alias("day"), F.array_distinct(title_words(F.col("ticker"), F.col("title"))).alias("words"))
     n = F.size("claim_words")
@@ -101,15 +96,38 @@ def verify(claims: DataFrame, news: DataFrame, as_of: str) -> DataFrame:
     asked = wanted.select("claim_id", "ticker", "start", "end", need.alias("need"), F.explode("claim_words").alias("word"))
     told = items.select("item_id", "ticker", "source_rank", "day", F.explode("words").alias("word"))
     shared = asked.join(told, ["ticker", "word"]).groupBy("claim_id", "start", "end", "need", "item_id", "source_rank", "day").agg(F.count("*").alias("n_shared"))
-    met = shared.where(F.col("n_shared") >= F.col("need"))
+    return shared.where(F.col("n_shared") >= F.col("need"))
+
+
+def verify(claims: DataFrame, news: DataFrame, as_of: str, conflicts: DataFrame | None = None, limited: DataFrame | None = None) -> DataFrame:
+    """What the news say of each claim (claim_id, ticker, text, start, end).
+
+    Official support in the window confirms it, other support there confirms in part,
+    support of over 90 days ago only is stale. With ``conflicts`` (group_id, groups whose
+    reports disagree) a claim that one of their items supports is conflicting; with
+    ``limited`` (ticker) what is not found there may only be out of reach.
+    """
+    met = claim_matches(claims, news)
+    if conflicts is not None:
+        disputed = with_group(news).join(conflicts, "group_id", "left_semi").select("item_id", F.lit(True).alias("disputed"))
+        met = met.join(disputed, "item_id", "left")
     inside = F.col("day").between(F.col("start"), F.col("end"))
     old = F.col("day") < F.date_sub(F.lit(as_of).cast("date"), 90)
     counts = ("official", inside & (F.col("source_rank") == 0)), ("in_window", inside), ("support", F.lit(True)), ("old", old)
+    if conflicts is not None:
+        counts += (("conflicts", F.col("disputed")),)
     found = met.groupBy("claim_id").agg(*[F.count_if(c).alias(name) for name, c in counts])
-    every = wanted.select("claim_id").distinct().join(found, "claim_id", "left")
+    every = claims.select("claim_id").distinct().join(found, "claim_id", "left")
     out = every.select("claim_id", *[F.coalesce(name, F.lit(0).cast("long")).alias(name) for name, _ in counts])
     status = F.when(F.col("official") > 0, "CONFIRMED").when(F.col("in_window") > 0, "PARTIAL").when((F.col("support") > 0) & (F.col("support") == F.col("old")), "STALE").otherwise("NOT_FOUND")
-    return out.withColumn("status", status)
+    if conflicts is not None:
+        status = F.when(F.col("conflicts") > 0, "CONFLICTING").otherwise(status)
+    out = out.withColumn("status", status)
+    if limited is not None:
+        out_of_reach = claims.join(limited, "ticker", "left_semi").select("claim_id", F.lit(True).alias("limited")).distinct()
+        cut = F.col("limited") & (F.col("status") == "NOT_FOUND")
+        out = out.join(out_of_reach, "claim_id", "left").withColumn("status", F.when(cut, "SOURCE_LIMITED_NOT_FOUND").otherwise(F.col("status"))).drop("limited")
+    return out
 
 
 def title_overlap(news: DataFrame) -> DataFrame:

@@ -87,6 +87,28 @@ def event_verify_tokens(spark, sf_dir):
     return O.verify(claims, news, "2024-05-01")
 
 
+@query(f"""{N}, {GROUPED},
+disputed AS (SELECT group_id FROM grouped GROUP BY group_id HAVING count(DISTINCT source_rank) > 1),
+claims AS (SELECT item_id AS claim_id, ticker, title || CASE WHEN item_id % 4 = 1 THEN ' absent1 absent2 absent3 absent4 absent5 absent6 absent7 absent8 absent9 absent10 absent11 absent12 absent13' ELSE '' END AS text,
+           DATE '2024-01-02' AS "start", DATE '2024-01-03' AS "end" FROM news),
+c AS (SELECT *, list_distinct({_words('text')}) AS cw FROM claims),
+n AS (SELECT ticker, source_rank, CAST(published_at AS DATE) AS day, list_distinct({_words('title')}) AS words, group_id IN (SELECT group_id FROM disputed) AS conflicting FROM grouped),
+s AS (SELECT claim_id, ticker, source_rank, conflicting, day BETWEEN "start" AND "end" AS inside, day < DATE '2024-05-01' - 90 AS old,
+             len(cw) > 0 AND len(list_intersect(cw, words)) >= CASE WHEN len(cw) <= 2 THEN len(cw) ELSE ceil(0.67e0 * len(cw)) END AS ok
+      FROM c LEFT JOIN n USING (ticker)),
+g AS (SELECT claim_id, ticker, count(*) FILTER (ok AND inside AND source_rank = 0) AS official, count(*) FILTER (ok AND inside) AS in_window, count(*) FILTER (ok) AS support, count(*) FILTER (ok AND old) AS old,
+             count(*) FILTER (ok AND conflicting) AS conflicts FROM s GROUP BY claim_id, ticker)
+SELECT * EXCLUDE (ticker), CASE WHEN conflicts > 0 THEN 'CONFLICTING' WHEN official > 0 THEN 'CONFIRMED' WHEN in_window > 0 THEN 'PARTIAL' WHEN support > 0 AND support = old THEN 'STALE'
+       WHEN CAST(substr(ticker, 2) AS INTEGER) % 5 = 0 THEN 'SOURCE_LIMITED_NOT_FOUND' ELSE 'NOT_FOUND' END AS status FROM g""")
+def event_verify_states(spark, sf_dir):
+    news = _news(spark, sf_dir)
+    absent = F.when(F.col("item_id") % 4 == 1, " " + " ".join(f"absent{i}" for i in range(1, 14))).otherwise("")
+    claims = news.select(F.col("item_id").alias("claim_id"), "ticker", F.concat("title", absent).alias("text"), F.lit("2024-01-02").cast("date").alias("start"), F.lit("2024-01-03").cast("date").alias("end"))
+    disputed = O.with_group(news).groupBy("group_id").agg(F.count_distinct("source_rank").alias("n")).where("n > 1")
+    limited = news.where("cast(substr(ticker, 2) as int) % 5 = 0").select("ticker").distinct()
+    return O.verify(claims, news, "2024-05-01", disputed, limited)
+
+
 @query(f"""{N}, w AS (SELECT item_id, ticker, published_at, list_distinct({_words('title')}) AS words FROM news),
 p AS (SELECT item_id, words, lag(item_id) OVER o AS before_id, lag(words) OVER o AS before FROM w WINDOW o AS (PARTITION BY ticker ORDER BY published_at, item_id))
 SELECT item_id, before_id, len(list_intersect(words, before)) / nullif(len(list_distinct(list_concat(words, before))), 0) AS jaccard FROM p WHERE before_id IS NOT NULL""")

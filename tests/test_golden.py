@@ -185,3 +185,15 @@ def test_cell_numbers(spark):
     want = {"(123)": -123.0, "$ 2.5B": 2.5e9, "12%": 12.0, "1,234.5": 1234.5, "-7": -7.0, "3m": 3e6, "4K": 4e3, "$(1,000)": -1000.0, "n/a": None, "": None, "B": None}
     cells = spark.createDataFrame([(c,) for c in want], "cell string")
     assert {r["cell"]: r["n"] for r in cells.select("cell", cell_number(cells["cell"]).alias("n")).collect()} == want
+
+
+def test_coverage_ladders(spark):
+    rows = [("in millions", True, True), ("in millions", True, False), (None, True, True), ("none", False, False)]
+    t = spark.createDataFrame(rows, "text string, years boolean, labels boolean").coalesce(1)
+    unit = ladders.table_unit(F.col("text"))
+    got = t.select(unit.alias("unit"), ladders.table_confidence(F.col("years"), F.col("labels"), unit).alias("level")).collect()
+    assert [tuple(r) for r in got] == [("millions", "HIGH"), ("millions", "MEDIUM"), ("unknown", "MEDIUM"), ("unknown", "LOW")]
+    signal, driver = ladders.forward_revision(F.col("w"), F.col("m"), F.col("s"))
+    cases = [(5.0, 1.0, None), (-5.0, 4.0, None), (None, None, -3.0), (None, None, None), (1.0, None, 9.0)]
+    got = spark.createDataFrame(cases, "w double, m double, s double").coalesce(1).select(signal.alias("signal"), driver.alias("driver")).collect()
+    assert [tuple(r) for r in got] == [("POSITIVE", "30d_neutral_7d"), ("POSITIVE", "30d"), ("NEGATIVE", "90d_fallback"), ("UNKNOWN", "none"), ("NEUTRAL", "7d")]

@@ -10,6 +10,7 @@ from .bpe import digest_texts
 from .common import read_table
 from .decontaminate import contaminated
 from .exact_dedup import EXACT_SQL, exact_digest
+from .fingerprints import fingerprint_digest
 from .licenses import scan_licenses
 from .line_dedup import line_classes
 from .quality import rate_quality
@@ -60,6 +61,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_license_scan": op10_license_scan,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_exact_dedup": EXACT_SQL}

@@ -18,6 +18,7 @@ from .secret_scan import scan_secrets
 from .simhash import simhash_digest
 from .token_counts import count_tokens
 from .url_filter import URL_SQL, filter_urls, listed_pages
+from .variants import spelling_variants
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_digest(read_table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_license_scan": op10_license_scan,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_fingerprints": op13_fingerprints,
 }
 

@@ -14,6 +14,7 @@ from .fingerprints import fingerprint_digest
 from .licenses import scan_licenses
 from .line_dedup import line_classes
 from .quality import rate_quality
+from .search import SEARCH_SQL, lexical_search
 from .secret_scan import scan_secrets
 from .simhash import simhash_digest
 from .token_counts import count_tokens
@@ -62,6 +63,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read_table(spark, sf_dir, "documents"))
 
@@ -81,8 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_license_scan": op10_license_scan,
+    "op11_lexical_search": op11_lexical_search,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_fingerprints": op13_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_exact_dedup": EXACT_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_exact_dedup": EXACT_SQL, "op11_lexical_search": SEARCH_SQL}

@@ -19,7 +19,7 @@ from .secret_scan import scan_secrets
 from .simhash import simhash_digest
 from .token_counts import count_tokens
 from .url_filter import URL_SQL, filter_urls, listed_pages
-from .variants import spelling_variants
+from .variants import VARIANTS_SQL, spelling_variants
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_fingerprints": op13_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_exact_dedup": EXACT_SQL, "op11_lexical_search": SEARCH_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_exact_dedup": EXACT_SQL, "op11_lexical_search": SEARCH_SQL, "op12_spelling_variants": VARIANTS_SQL}

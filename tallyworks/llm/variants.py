@@ -44,10 +44,10 @@ MEMORY_WORDS = 200_000
 
 SAMPLE_WORDS = 50_000
 #: Words of a cell that is not cut further, and the sample's words that a cell has at least.
-CELL_WORDS, CELL_SAMPLE = 2_000, 20
+CELL_WORDS, CELL_SAMPLE = 10_000, 20
 #: Letters, and some for each word, of a part of a cell.
-PART_LETTERS, WORD_LETTERS = 300_000, 50
-LEAF = 16
+PART_LETTERS, WORD_LETTERS = 1_500_000, 50
+LEAF = 32
 #: What a word is in a cell: at home, asking its own cell, asking another.
 HOME, INMATE, PROBE = 0, 1, 2
 #: Letter counts: a to z, and the letters from U+00C0 on folded to six. Folding and the bound only bring words nearer.
@@ -137,9 +137,15 @@ def letter_counts(letters: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(flat.ravel(), minlength=kinds * len(letters)).reshape(-1, kinds), BOUND).astype(np.int16)
 
 
+def odd_letters(counts: np.ndarray) -> np.ndarray:
+    """A bit for each letter whose (bounded) count is odd; the bound may hide a change, so such letters count as even."""
+    odd = (counts % 2 == 1) & (counts < BOUND)
+    return (odd.astype(np.uint32) << np.arange(counts.shape[1], dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+
+
 def best_cut(counts: np.ndarray) -> tuple[int, int] | None:
     """The letter and count (at most: left) that part the rows most evenly."""
-    middle = np.floor(np.median(counts, axis=0)).astype(np.int16)
+    middle = counts.mean(axis=0).astype(np.int16)
     best, cut = 0, None
     for at in (middle, middle - 1):
         left = (counts <= at).sum(axis=0)
@@ -248,30 +254,39 @@ def near_rows(homes: np.ndarray, probes: np.ndarray) -> tuple[np.ndarray, np.nda
     """(home, probe) of all rows one edit apart; ``homes`` and ``probes`` are letters, probes of equal length or one less."""
     down = 1 if homes.shape[1] == probes.shape[1] else 0
     of_homes, of_probes = letter_counts(homes), letter_counts(probes)
+    odd_homes, odd_probes = odd_letters(of_homes), odd_letters(of_probes)
     found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def in_range(low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return (np.maximum(low - x, 0).sum(axis=-1) <= 1) & (np.maximum(x - high, 0).sum(axis=-1) <= down)
-
-    todo = [(np.arange(len(homes)), np.arange(len(probes)))]
+    low, high = of_homes.min(axis=0), of_homes.max(axis=0)
+    ups, downs = (np.maximum(x, 0).sum(axis=1, dtype=np.int16) for x in (low - of_probes, of_probes - high))
+    todo = [(np.arange(len(homes)), np.arange(len(probes)), ups, downs, low, high)]
     while todo:
-        at, asked = todo.pop()
-        points = of_homes[at]
-        asked = asked[in_range(points.min(axis=0), points.max(axis=0), of_probes[asked])]
+        at, asked, ups, downs, low, high = todo.pop()
+        fits = (ups <= 1) & (downs <= down)
+        asked, ups, downs = asked[fits], ups[fits], downs[fits]
         if not len(asked):
             continue
+        points = of_homes[at]
         cut = best_cut(points) if len(at) > LEAF else None
         if cut:
-            left = points[:, cut[0]] <= cut[1]
-            todo += [(at[left], asked), (at[~left], asked)]
+            letter, most = cut
+            left = points[:, letter] <= most
+            x = of_probes[asked, letter]
+            less, more = high.copy(), low.copy()
+            less[letter], more[letter] = most, most + 1
+            todo.append((at[left], asked, ups, downs + np.maximum(x - most, 0) - np.maximum(x - high[letter], 0), low, less))
+            todo.append((at[~left], asked, ups + np.maximum(most + 1 - x, 0) - np.maximum(low[letter] - x, 0), downs, more, high))
             continue
-        step = max(1, BLOCK // (len(at[:LEAF]) * max(homes.shape[1], 2 * points.shape[1])))
+        step = max(1, BLOCK // (LEAF * 8))
         for a in range(0, len(at), LEAF):  # words of the same letters may be more than a leaf
             for b in range(0, len(asked), step):
                 h, p = at[a : a + LEAF], asked[b : b + step]
-                i, j = np.nonzero(in_range(of_homes[h][:, None], of_homes[h][:, None], of_probes[p][None]))
-                near = one_edit(probes[p[j]], homes[h[i]])
-                found.append((h[i[near]], p[j[near]]))
+                # an edit makes at most two letters' counts odd or even
+                i, j = np.nonzero(np.bitwise_count(odd_homes[h][:, None] ^ odd_probes[p][None]) <= 2)
+                size = max(1, BLOCK // homes.shape[1])
+                for c in range(0, len(i), size):
+                    h_of, p_of = h[i[c : c + size]], p[j[c : c + size]]
+                    near = one_edit(probes[p_of], homes[h_of])
+                    found.append((h_of[near], p_of[near]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])

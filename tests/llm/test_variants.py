@@ -91,7 +91,7 @@ def test_against_all_pairs(spark, monkeypatch, fine):
 def test_cells_lose_nothing():
     rng = random.Random(9)
     words = sorted({"".join(rng.choice("aeinrst") for _ in range(rng.randint(7, 9))) for _ in range(3000)})
-    cells = v.Cells(words[::3], 40)
+    cells = v.Cells(words[::3], 200)
     assert cells.next > 20
     home = {}
     for length in (7, 8, 9, 10):

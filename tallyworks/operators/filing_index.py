@@ -24,7 +24,7 @@ HEADING_CHARS, LABEL_CHARS = 200, 100
 #: Characters before a table in which its unit, and its title, may stand.
 UNIT_BEFORE, TITLE_BEFORE = 2000, 500
 #: Words that name a scale, the larger ones first; keywords of the index; characters of a title.
-SCALES = ("billion", "million", "thousand")
+SCALES = {"billions": ("billion",), "millions": ("million",), "thousands": ("thousand",)}
 KEYWORDS = ("china", "greater china", "prc", "geographic", "segment", "revenue", "customers", "long-lived assets", "risk factors", "americas", "europe", "japan", "asia", "rest of asia")
 TITLE_OVER, TITLE_UNDER = 10, 200
 ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -104,19 +104,25 @@ def table_cells(tabled: DataFrame) -> DataFrame:
     return texts.select("doc_id", "table_no", row_no, cell_no, "text")
 
 
-def table_frames(tabled: DataFrame) -> DataFrame:
-    """doc_id, table_no, start, end, unit_scale and title (null if none stands near enough) of each table."""
+def table_frames(tabled: DataFrame, scales: dict[str, tuple[str, ...]] = SCALES, unit_before: int = UNIT_BEFORE) -> DataFrame:
+    """doc_id, table_no, start, end, unit_scale and title (null if none stands near enough) of each table.
+
+    The unit is the first of ``scales`` one of whose phrases stands in the table or ``unit_before`` characters before it.
+    """
     order = Window.partitionBy("doc_id").orderBy("at")
     told = F.lower("text")
 
-    def last_place(word: str) -> Column:
-        """Where the word stood last, up to a mark."""
-        back = F.instr(F.reverse(told), word[::-1])
-        return F.last(F.when(back > 0, F.coalesce("tag_end", "pos") + F.length("text") - back - len(word) + 1), ignorenulls=True).over(order)
+    def last_place(phrases: tuple[str, ...]) -> Column:
+        """Where one of the phrases stood last, up to a mark."""
+        places = [F.lit(None).cast("int")]
+        for phrase in phrases:
+            back = F.instr(F.reverse(told), phrase[::-1])
+            places.append(F.when(back > 0, F.coalesce("tag_end", "pos") + F.length("text") - back - len(phrase) + 1))
+        return F.last(F.greatest(F.lit(None).cast("int"), *places), ignorenulls=True).over(order)
 
     shown = F.when(plain(F.col("text")) != "", F.struct(plain(F.col("text")).alias("text"), F.coalesce("tag_end", "pos").alias("pos")))
     before = F.last(shown, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    read = tabled.select("*", *[last_place(w).alias(w) for w in SCALES], before.alias("before"))
+    read = tabled.select("*", *[last_place(phrases).alias(w) for w, phrases in scales.items()], before.alias("before"))
     opens, closes = F.col("tag") == "table", F.col("tag") == "/table"
     # an end belongs to the table last opened one deeper than what follows it
     level = F.when(opens, F.col("depth")).when(closes, F.col("depth") + 1)
@@ -126,10 +132,10 @@ def table_frames(tabled: DataFrame) -> DataFrame:
     ends = bounds.withColumn("table_no", closed.cast("int")).where(closes & F.col("table_no").isNotNull())
     page = tabled.groupBy("doc_id").agg(F.max(F.coalesce("tag_end", "pos") + F.length("text")).alias("page_end"))
     # up to its end a table's unit may have been named last at any of its marks
-    own = read.where("table_no is not null").select("doc_id", "table_no", "at", "pos", opens.alias("opens"), F.lit(None).cast("int").alias("end"), *SCALES, "before")
-    last = ends.select("doc_id", "table_no", "at", "pos", F.lit(False).alias("opens"), F.col("tag_end").alias("end"), *SCALES, "before")
-    rows = own.unionByName(last).groupBy("doc_id", "table_no").agg(F.min(F.when(F.col("opens"), F.col("pos"))).alias("start"), F.min("end").alias("end"), *[F.max(w).alias(w) for w in SCALES], F.min_by("before", "at").alias("before"))
-    scale = F.coalesce(*[F.when(F.col(w) >= F.col("start") - UNIT_BEFORE, f"{w}s") for w in SCALES], F.lit("unknown"))
+    own = read.where("table_no is not null").select("doc_id", "table_no", "at", "pos", opens.alias("opens"), F.lit(None).cast("int").alias("end"), *scales, "before")
+    last = ends.select("doc_id", "table_no", "at", "pos", F.lit(False).alias("opens"), F.col("tag_end").alias("end"), *scales, "before")
+    rows = own.unionByName(last).groupBy("doc_id", "table_no").agg(F.min(F.when(F.col("opens"), F.col("pos"))).alias("start"), F.min("end").alias("end"), *[F.max(w).alias(w) for w in scales], F.min_by("before", "at").alias("before"))
+    scale = F.coalesce(*[F.when(F.col(w) >= F.col("start") - unit_before, w) for w in scales], F.lit("unknown"))
     size = F.length("before.text")
     title = F.when((F.col("before.pos") >= F.col("start") - TITLE_BEFORE) & (size > TITLE_OVER) & (size < TITLE_UNDER), F.col("before.text"))
     return rows.join(page, "doc_id").select("doc_id", "table_no", "start", F.coalesce("end", "page_end").cast("int").alias("end"), scale.alias("unit_scale"), title.alias("title"))

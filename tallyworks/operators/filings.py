@@ -1,4 +1,4 @@
-"""Parts of long filings: sections, mentions of a topic, revenue by region in tables."""
+"""Parts of long filings: sections, mentions of a topic, numbers of cells."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .documents import html_tables
-
 HEADING = re.compile(r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>")
 LINK = re.compile(r"(?is)<a\b[^>]*href\s*=\s*[\"']#")
 LINKED = re.compile(r"(?is)<a\b[^>]*href\s*=\s*[\"']#[^>]*>\s*$")
@@ -63,11 +61,6 @@ def commentary(texts: DataFrame, topics: list[str]) -> DataFrame:
     return rows.select("doc_id", "topic", first.alias("summary"), F.when(first.isNull(), "NOT_FOUND").otherwise("FOUND").alias("status"))
 
 
-#: Labels of a total's row, the words for a unit, and their factors.
-TOTALS = ("total revenue", "total revenues", "total net revenue", "total net sales", "total", "net sales", "consolidated")
-UNITS = (("billions", 1e9), ("thousands", 1e3), ("millions", 1e6))
-
-
 def cell_number(cell: Column) -> Column:
     """The number of a cell, or null: brackets are a minus sign, K, M and B are factors, and a percent sign is left out."""
     plain = F.upper(F.regexp_replace(cell, r"[$,%\s]", ""))
@@ -75,17 +68,3 @@ def cell_number(cell: Column) -> Column:
     number, suffix = (F.regexp_extract(signed, r"^(-?[0-9]*[.]?[0-9]+[.]?)([KMB]?)$", i) for i in (1, 2))
     factor = F.when(suffix == "B", 1e9).when(suffix == "M", 1e6).when(suffix == "K", 1e3).otherwise(1.0)
     return F.when(number != "", number.try_cast("double") * factor)
-
-
-def region_revenue(docs: DataFrame, region: str) -> DataFrame:
-    """Revenue of a region, the total and their ratio from the first table that has both rows; the page names the unit."""
-    unit = F.coalesce(*[F.when(F.contains(F.lower("html"), F.lit(u)), f) for u, f in UNITS], F.lit(1e6))
-    rows = html_tables(docs).select("doc_id", "position", F.posexplode("rows").alias("at", "cells"))
-    label = F.lower(F.trim(F.get("cells", 0)))
-    number = F.get(F.filter(F.transform(F.slice("cells", 2, 1000), cell_number), lambda x: x.isNotNull()), 0)
-    read = rows.select("doc_id", "position", "at", label.alias("label"), number.alias("value")).where("value is not null")
-    is_region = F.contains(F.col("label"), F.lit(region.lower()))
-    by_table = read.groupBy("doc_id", "position").agg(F.min_by("value", F.when(is_region, F.col("at"))).alias("region"), F.max_by("value", F.when(F.col("label").isin(*TOTALS), F.col("at"))).alias("total"))
-    first = by_table.where("region is not null and total > 0").groupBy("doc_id").agg(F.min_by(F.struct("region", "total"), "position").alias("r"))
-    scaled = docs.select("doc_id", unit.alias("unit")).join(first, "doc_id")
-    return scaled.select("doc_id", (F.col("r.region") * F.col("unit")).alias("region_revenue"), (F.col("r.total") * F.col("unit")).alias("total_revenue"), F.round(F.col("r.region") / F.col("r.total"), 4).alias("ratio"))

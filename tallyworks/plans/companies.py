@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import companies as O
 from ..operators import filings as P
+from ..operators.regions import region_revenue
 from ..sources import views as V
 from ..sources.tables import read_table
 from ..streaming import windows as W
@@ -126,7 +127,8 @@ def region_revenue_html(spark, sf_dir):
     s = read_table(spark, sf_dir, "supplier")
     number = lambda c: c.cast("string")
     html = F.concat(F.lit("<p>in millions</p><table><tr><th>Region</th><th>2024</th></tr><tr><td>China (1)</td><td>$ "), number(F.col("s_suppkey") + 10), F.lit("</td></tr><tr><td>Europe</td><td>200</td></tr><tr><td>Total</td><td>"), number(F.col("s_suppkey") + 210), F.lit("</td></tr></table>"))
-    return P.region_revenue(s.select(F.col("s_suppkey").alias("doc_id"), html.alias("html")), "China")
+    found = region_revenue(s.select(F.col("s_suppkey").alias("doc_id"), html.alias("html")), ["China"])
+    return found.select("doc_id", "region_revenue", "total_revenue", "ratio")
 
 
 def _streamed(stream, name, mode="append"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filing_index as X
+from ..operators.regions import region_revenue
 from ..sources.tables import read_table
 from .registry import Group
 
@@ -99,3 +100,47 @@ def filing_tables(spark, sf_dir):
 SELECT doc_id, keyword, kind, number FROM told JOIN (SELECT unnest({_LIST(X.KEYWORDS)}) AS keyword) ON contains(told, keyword)""")
 def filing_references(spark, sf_dir):
     return X.filing_index(pages(spark, sf_dir))["references"]
+
+
+REGION_TOTALS = ("Total", "Revenues", "Consolidated", "Total net revenues")
+
+
+def region_pages(spark, sf_dir):
+    """Pages with revenue by region in eight shapes, made of customers."""
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    row = lambda label, now: F.concat(F.lit("<tr><td>"), label, F.lit("</td><td>$ "), text(now), F.lit("</td><td>"), text(now + 7), F.lit("</td></tr>"))
+    said = lambda label, now: row(F.lit(label), now)
+    shape = (k % 8).cast("int")
+    china = F.element_at(
+        F.array(said("China (1)", k + 10), F.concat(said("Mainland China", k + 10), said("Hong Kong", k % 50 + 1)), said("China, excluding Hong Kong", k + 10), F.concat(said("Greater China", k + 10), said("Japan", k + 3)), said("<b>CHINA</b>", k + 10), F.lit(""), said("Hong Kong (China)", k + 10), said("China", k + 10)),
+        shape + 1,
+    )
+    total = row(F.when(shape == 4, "All regions").otherwise(F.element_at(F.array(*[F.lit(t) for t in REGION_TOTALS]), (k % 4 + 1).cast("int"))), 5 * k + 1000)
+    unit = F.element_at(F.array(F.lit("<p>Sales (in millions)</p>"), F.lit("<p>Sales, $ thousands</p>"), F.lit("")), (k % 3 + 1).cast("int"))
+    bare = F.when(shape == 7, "<table><tr><td>China</td><td>n/a</td></tr><tr><td>Total</td><td>none</td></tr></table>").otherwise("")
+    europe = F.when(k % 5 == 0, "").otherwise(said("Europe", 2 * k + 1))
+    html = F.concat(F.lit("<h3>Note "), text(k), F.lit(" on regions</h3>"), unit, bare, F.lit("<table><tr><td><table><tr><th>Region</th><th>2024</th><th>2023</th></tr>"), china, europe, total, F.lit("</table></td></tr></table>"))
+    return read_table(spark, sf_dir, "customer").select(k.alias("doc_id"), html.alias("html"))
+
+
+def _regions_sql(add: int, column: str) -> str:
+    return f"""
+WITH c AS (SELECT c_custkey AS k, c_custkey % 8 AS shape, [1e6, 1e3, 1e6][c_custkey % 3 + 1] AS factor, ['millions', 'thousands', 'millions'][c_custkey % 3 + 1] AS unit, CAST(5 * c_custkey + 1000 + {add} AS DOUBLE) AS total FROM customer),
+r AS (
+    SELECT *, 'china' AS region, ['China (1)', 'Mainland China', 'China, excluding Hong Kong', 'Greater China', 'CHINA', NULL, 'Hong Kong (China)', 'China'][shape + 1] AS region_label,
+           CAST(k + 10 + {add} AS DOUBLE) AS own, CASE shape WHEN 1 THEN CAST(k % 50 + 1 + {add} AS DOUBLE) WHEN 6 THEN own END AS hong_kong, CASE WHEN shape IN (1, 2) THEN own END AS mainland,
+           CASE shape WHEN 1 THEN 'COMBINED' WHEN 2 THEN 'MAINLAND_ONLY' WHEN 6 THEN 'HONG_KONG_ONLY' END AS reading, CASE WHEN shape = 1 THEN own + hong_kong ELSE own END AS value FROM c WHERE shape <> 5
+    UNION ALL SELECT *, 'europe', 'Europe', NULL, NULL, NULL, NULL, CAST(2 * k + 1 + {add} AS DOUBLE) FROM c WHERE k % 5 <> 0)
+SELECT k AS doc_id, region, CASE WHEN shape = 7 THEN 2 ELSE 1 END AS table_no, 'Note ' || k || ' on regions' AS heading, '{column}' AS source_column, region_label, value * factor AS region_revenue, total * factor AS total_revenue,
+       round(value / total, 4) AS ratio, unit, mainland * factor AS mainland_revenue, hong_kong * factor AS hong_kong_revenue, reading FROM r"""
+
+
+@query(_regions_sql(0, "2024"))
+def region_revenue_tables(spark, sf_dir):
+    return region_revenue(region_pages(spark, sf_dir), ["China", "Europe"])
+
+
+@query(_regions_sql(7, "2023"))
+def region_revenue_by_period(spark, sf_dir):
+    return region_revenue(region_pages(spark, sf_dir), ["China", "Europe"], "2023")

@@ -41,13 +41,6 @@ def test_section_bounds():
     assert filings.bounds(html + "<h2>Risk</h2>", "risk")[2] == "AMBIGUOUS" and filings.bounds(None, "risk")[2] == "NOT_FOUND"
 
 
-def test_region_revenue(spark):
-    html = "<p>(in millions)</p><table><tr><td>China</td><td>$ 2,840</td></tr><tr><td>Total revenue</td><td>15,630</td></tr></table>"
-    docs = spark.createDataFrame([(1, html), (2, html.replace("millions", "billions")), (3, "no table")], "doc_id long, html string")
-    got = {r["doc_id"]: r for r in filings.region_revenue(docs, "China").collect()}
-    assert (got[1]["ratio"], got[1]["region_revenue"], got[2]["region_revenue"]) == (0.1817, 2.84e9, 2.84e12) and 3 not in got
-
-
 def test_issuer_identity(spark):
     got = companies.identities(spark.createDataFrame([("A", "International Machines of Business, Inc.")], "ticker string, name string")).first()
     assert got["aliases"] == ["international machines of business inc", "international machines of business"] and got["acronym"] == "imb"

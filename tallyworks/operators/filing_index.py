@@ -45,7 +45,7 @@ def plain(text: Column) -> Column:
 
 
 def marks(pages: DataFrame) -> DataFrame:
-    """doc_id, at (from 0), pos, tag (lower case, with a slash if it ends one), tag_end and text of each mark of the pages (doc_id, html)."""
+    """doc_id, at (from 0), pos, tag (lower case, with a slash if it ends one), tag_end, href (of a link) and text of each mark of the pages (doc_id, html)."""
     pieces = pages.select("doc_id", F.posexplode(F.split(cleaned(F.col("html")), "<")).alias("at", "body"))
     before = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("body") + F.when(F.col("at") > 0, 1).otherwise(0)
@@ -54,7 +54,8 @@ def marks(pages: DataFrame) -> DataFrame:
     text = F.when(F.col("tag") != "", F.regexp_replace("body", "(?s)^[^>]*>", "")).when(F.col("at") == 0, F.col("body")).otherwise(F.concat(F.lit("<"), "body"))
     told = placed.withColumn("text", text)
     tag_end = F.when(F.col("tag") != "", F.col("pos") + F.length("body") - F.length("text") + 1).cast("int")
-    return told.select("doc_id", "at", "pos", "tag", tag_end.alias("tag_end"), "text")
+    target = F.regexp_extract("body", r"""(?is)^a\b[^>]*?\bhref\s*=\s*["']([^"'>]+)["']""", 1)
+    return told.select("doc_id", "at", "pos", "tag", tag_end.alias("tag_end"), F.when((F.col("tag") == "a") & (target != ""), target).alias("href"), "text")
 
 
 def _joined() -> Column:
@@ -91,13 +92,18 @@ def table_marks(marked: DataFrame) -> DataFrame:
     return deep.withColumn("table_no", F.when(F.col("depth") > 0, last_opened).cast("int")).drop("raw", "number")
 
 
-def table_cells(tabled: DataFrame) -> DataFrame:
-    """doc_id, table_no, row_no, cell_no (all from 0) and text of each cell; a table within a cell is its own."""
+def _in_cells(tabled: DataFrame) -> DataFrame:
+    """The marks inside cells, with row and cell (running numbers in their table)."""
     order = Window.partitionBy("doc_id", "table_no").orderBy("at")
     cell = F.col("tag").isin("td", "th")
     inside = F.last(F.when(cell, True).when(F.col("tag").isin("/td", "/th", "tr", "/tr", "table"), False), ignorenulls=True).over(order)
     read = tabled.where("table_no is not null").withColumn("inside", inside).withColumn("row", F.sum((F.col("tag") == "tr").cast("int")).over(order)).withColumn("cell", F.sum(cell.cast("int")).over(order))
-    texts = read.where("inside").groupBy("doc_id", "table_no", "row", "cell").agg(_joined().alias("text"))
+    return read.where("inside")
+
+
+def table_cells(tabled: DataFrame) -> DataFrame:
+    """doc_id, table_no, row_no, cell_no (all from 0) and text of each cell; a table within a cell is its own."""
+    texts = _in_cells(tabled).groupBy("doc_id", "table_no", "row", "cell").agg(_joined().alias("text"))
     in_table = Window.partitionBy("doc_id", "table_no")
     row_no = (F.dense_rank().over(in_table.orderBy("row")) - 1).alias("row_no")
     cell_no = (F.row_number().over(Window.partitionBy("doc_id", "table_no", "row").orderBy("cell")) - 1).alias("cell_no")
@@ -174,3 +180,30 @@ def filing_index(pages: DataFrame, keywords: tuple[str, ...] = KEYWORDS) -> dict
     sections, tabled = section_headings(marked), table_marks(marked)
     tables = table_index(tabled, sections)
     return {"sections": sections, "cells": table_cells(tabled), "tables": tables, "references": keyword_references(sections, tables, keywords)}
+
+
+def exhibits(pages: DataFrame) -> DataFrame:
+    """The documents that filing index pages (doc_id, html) list: a row of a table each, in the order of the page.
+
+    Columns: doc_id, position (from 0), sequence, description, document (the file that
+    the third cell links to, else its text), type, size and status: OK,
+    TOO_FEW_CELLS (under three) or NO_SEQUENCE (the first cell starts with no
+    digit, as in a header).
+    """
+    marked = _in_cells(table_marks(marks(pages)))
+    cells = marked.groupBy("doc_id", "table_no", "row", "cell").agg(_joined().alias("text"), F.min_by("href", F.when(F.col("href").isNotNull(), F.col("at"))).alias("href"))
+    ordered = F.sort_array(F.collect_list(F.struct("cell", "text", "href")))
+    rows = cells.groupBy("doc_id", "table_no", "row").agg(ordered.alias("cells"))
+    text = lambda i: F.get("cells", i)["text"]
+    file = F.regexp_replace(F.regexp_replace(plain(F.get("cells", 2)["href"]), "^.*/", ""), "[?#].*$", "")
+    status = F.when(F.size("cells") < 3, "TOO_FEW_CELLS").when(~text(0).rlike("^[0-9]"), "NO_SEQUENCE").otherwise("OK")
+    position = (F.row_number().over(Window.partitionBy("doc_id").orderBy("table_no", "row")) - 1).alias("position")
+    blank = F.lit("")
+    return rows.select("doc_id", position, text(0).alias("sequence"), F.coalesce(text(1), blank).alias("description"), F.coalesce(file, text(2), blank).alias("document"), F.coalesce(text(3), blank).alias("type"), F.coalesce(text(4), blank).alias("size"), status.alias("status"))
+
+
+def primary_documents(listed: DataFrame) -> DataFrame:
+    """doc_id and document of the first exhibit with sequence 1 or an annual report's type or description, that is not the index itself."""
+    annual = F.upper("type").startswith("10-K") | F.upper("description").startswith("10-K")
+    own = (F.col("status") == "OK") & ((F.col("sequence") == "1") | annual) & (F.col("document") != "") & ~F.lower("document").rlike(r"-index\.html?$")
+    return listed.where(own).groupBy("doc_id").agg(F.min_by("document", "position").alias("document"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import allow_lists as L
 from ..operators import facts as O
+from ..operators.totals import with_total
 from ..sources import views as V
 from ..sources.tables import read_table
 from .registry import Group
@@ -90,3 +92,47 @@ def filings_from_arrays(spark, sf_dir):
     ordered = F.sort_array(F.collect_list(F.struct("filing_id", "form", "filing_date")))
     packed = filings(spark, sf_dir).groupBy(F.col("ticker").cast("string").alias("cik")).agg(ordered.alias("f"))
     return O.filings_from_arrays(packed.select("cik", F.col("f.form").alias("form"), F.col("f.filing_date").alias("filing_date"), F.col("f.filing_id").alias("accession")))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS fact_id, o_custkey AS ticker, 'Revenues' AS concept, 'A' || o_orderkey AS accn, CAST(o_orderdate AS DATE) AS "end", CAST(o_orderdate AS DATE) + 45 AS filed, CAST(round(o_totalprice * 100) AS BIGINT) AS value FROM orders),
+t AS (SELECT fact_id AS total_id, ticker, CASE fact_id % 5 WHEN 0 THEN accn ELSE 'B' || fact_id END AS accn, CASE WHEN fact_id % 5 = 2 THEN "end" + 200 ELSE "end" END AS "end", CASE WHEN fact_id % 5 = 2 THEN filed + CAST(fact_id % 9 AS INTEGER) ELSE filed END AS filed, value * 4 AS total FROM r WHERE fact_id % 5 < 3),
+m AS (SELECT r.fact_id, t.total_id, t.total, t."end" AS e, t.filed AS f, abs(t.filed - r.filed) AS apart, CASE WHEN t.accn = r.accn THEN 0 WHEN t."end" = r."end" THEN 1 WHEN apart <= 10 THEN 2 ELSE 3 END AS kind FROM r JOIN t USING (ticker)),
+b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY kind, CASE WHEN kind = 2 THEN apart ELSE 0 END, e DESC, f DESC, total_id) = 1)
+SELECT fact_id, ticker, concept, accn, "end", filed, value, total_id, total, ['accession', 'period', 'near date', 'any'][kind + 1] AS matched_by, CASE WHEN total > 0 THEN round(value / total, 4) END AS ratio FROM r LEFT JOIN b USING (fact_id)""")
+def totals_by_ranked_keys(spark, sf_dir):
+    k, cents = F.col("fact_id"), F.round(F.col("o_totalprice") * 100).cast("long")
+    end = F.to_date("o_orderdate")
+    regional = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact_id"), F.col("o_custkey").alias("ticker"), F.lit("Revenues").alias("concept"), F.concat(F.lit("A"), F.col("o_orderkey").cast("string")).alias("accn"), end.alias("end"), F.date_add(end, 45).alias("filed"), cents.alias("value"))
+    other = F.when(k % 5 == 0, F.col("accn")).otherwise(F.concat(F.lit("B"), k.cast("string")))
+    late = k % 5 == 2
+    totals = regional.where(k % 5 < 3).select(k.alias("total_id"), "ticker", "concept", other.alias("accn"), F.when(late, F.date_add("end", 200)).otherwise(F.col("end")).alias("end"), F.when(late, F.date_add("filed", (k % 9).cast("int"))).otherwise(F.col("filed")).alias("filed"), (F.col("value") * 4).alias("value"))
+    return with_total(regional, totals)
+
+
+URL_PARTS_SQL = """
+u AS (SELECT page_id AS id, url, lower(split_part(url, '://', 1)) AS scheme, regexp_extract(split_part(url, '://', 2), '^([^/?#]*)([^?#]*)', 1) AS full_host, regexp_extract(split_part(url, '://', 2), '^([^/?#]*)([^?#]*)', 2) AS path, regexp_replace(lower(full_host), '^www[.]', '') AS host FROM pages),
+rules AS (
+    SELECT id AS rule_id, CASE WHEN id % 4 = 0 THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE host END AS host, CASE WHEN id % 2 = 0 THEN '/' || split_part(path, '/', 2) || '/' ELSE left(path, 6) END AS prefix, id % 4 = 0 AS subdomains
+    FROM u WHERE id % 3 = 0)"""
+
+
+@query(f"""WITH {URL_PARTS_SQL},
+m AS (SELECT u.id, rule_id, starts_with(path, prefix) AS fits, length(r.host) AS host_size, length(prefix) AS prefix_size FROM u JOIN rules r ON u.host = r.host OR (subdomains AND ends_with(u.host, '.' || r.host))),
+b AS (SELECT id, arg_min(rule_id, (-host_size, -prefix_size, rule_id)) FILTER (fits) AS rule_id FROM m GROUP BY id)
+SELECT id, url, scheme, host, path, CASE WHEN scheme = 'https' THEN rule_id END AS rule_id, CASE WHEN scheme <> 'https' THEN 'SCHEME' WHEN rule_id IS NOT NULL THEN 'ALLOWED' WHEN b.id IS NOT NULL THEN 'PATH' ELSE 'HOST' END AS status FROM u LEFT JOIN b USING (id)""")
+def url_allow_list(spark, sf_dir):
+    urls = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
+    k, parts = F.col("id"), L.url_parts(F.col("url")).alias("u")
+    labels = F.split("u.host", r"\.")
+    domain = F.array_join(F.slice(labels, -3, 3), ".")
+    prefix = F.when(k % 2 == 0, F.concat(F.lit("/"), F.split_part(F.col("u.path"), F.lit("/"), F.lit(2)), F.lit("/"))).otherwise(F.left("u.path", F.lit(6)))
+    rules = urls.where(k % 3 == 0).select("id", parts).select(k.alias("rule_id"), F.when(k % 4 == 0, domain).otherwise(F.col("u.host")).alias("host"), prefix.alias("prefix"), (k % 4 == 0).alias("subdomains"))
+    return L.allowed_urls(urls, rules)
+
+
+@query("SELECT event_id, event_type AS content_type, CASE WHEN event_type NOT IN (SELECT event_type FROM events GROUP BY event_type ORDER BY event_type LIMIT 3) THEN 'CONTENT_TYPE' END AS rejected FROM events")
+def content_type_filter(spark, sf_dir):
+    items = read_table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("content_type"))
+    listed = items.select(F.upper("content_type").alias("content_type")).distinct().orderBy("content_type").limit(3)
+    return L.content_allowed(items, listed)

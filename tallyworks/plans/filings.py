@@ -144,3 +144,33 @@ def region_revenue_tables(spark, sf_dir):
 @query(_regions_sql(7, "2023"))
 def region_revenue_by_period(spark, sf_dir):
     return region_revenue(region_pages(spark, sf_dir), ["China", "Europe"], "2023")
+
+
+def index_pages(spark, sf_dir):
+    """Filing index pages, one a customer, with a row an order: links of several forms, bare names and rows that are cut short."""
+    o = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    text = k.cast("string")
+    link = F.when(k % 4 == 0, F.concat(F.lit('<a href="/ixviewer/ix.html?doc=/Archives/f'), text, F.lit('.htm">view</a>'))).when(k % 4 == 1, F.concat(F.lit("<a href='f"), text, F.lit(".htm?v=1#top'>f</a>"))).when(k % 4 == 2, F.concat(F.lit(" f"), text, F.lit(".txt "))).otherwise("")
+    kind = F.when(k % 3 == 0, "10-K").when(k % 3 == 1, F.concat(F.lit("EX-"), (k % 50).cast("string"))).otherwise("")
+    row = F.concat(F.lit("<tr><td>"), text, F.lit("</td><td>Order &amp; "), "o_orderpriority", F.lit("</td>"), F.when(k % 10 == 9, "").otherwise(F.concat(F.lit("<td>"), link, F.lit("</td><td>"), kind, F.lit("</td>"))), F.lit("</tr>"))
+    rows = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), row.alias("row")))), lambda r: r["row"]), "").alias("rows"))
+    return rows.select("doc_id", F.concat(F.lit("<table><tr><th>Seq</th><th>Description</th><th>Document</th><th>Type</th></tr>"), "rows", F.lit("</table>")).alias("html"))
+
+
+EXHIBITS_SQL = """
+exhibits AS (
+    SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS position, CAST(o_orderkey AS VARCHAR) AS sequence, 'Order & ' || o_orderpriority AS description,
+           CASE WHEN o_orderkey % 10 = 9 OR o_orderkey % 4 = 3 THEN '' WHEN o_orderkey % 4 = 2 THEN 'f' || o_orderkey || '.txt' ELSE 'f' || o_orderkey || '.htm' END AS document,
+           CASE WHEN o_orderkey % 10 = 9 THEN '' WHEN o_orderkey % 3 = 0 THEN '10-K' WHEN o_orderkey % 3 = 1 THEN 'EX-' || o_orderkey % 50 ELSE '' END AS type, '' AS size, CASE WHEN o_orderkey % 10 = 9 THEN 'TOO_FEW_CELLS' ELSE 'OK' END AS status
+    FROM orders UNION ALL SELECT DISTINCT o_custkey, 0, 'Seq', 'Description', 'Document', 'Type', '', 'NO_SEQUENCE' FROM orders)"""
+
+
+@query(f"WITH {EXHIBITS_SQL} SELECT * FROM exhibits")
+def filing_exhibits(spark, sf_dir):
+    return X.exhibits(index_pages(spark, sf_dir))
+
+
+@query(f"WITH {EXHIBITS_SQL} SELECT doc_id, arg_min(document, position) AS document FROM exhibits WHERE status = 'OK' AND document <> '' AND (sequence = '1' OR type = '10-K') GROUP BY doc_id")
+def primary_documents(spark, sf_dir):
+    return X.primary_documents(X.exhibits(index_pages(spark, sf_dir)))

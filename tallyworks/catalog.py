@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analyst, companies, documents, events, evidence, facts, filings, fundamentals, funds, options, streams, technicals
+from .plans import analyst, companies, documents, events, evidence, facts, filings, fundamentals, funds, options, releases, streams, technicals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (technicals, fundamentals, options, analyst, events, evidence, facts, documents, filings, funds, companies, streams):
+for module in (technicals, fundamentals, options, analyst, events, evidence, facts, documents, filings, funds, companies, releases, streams):
     QUERIES |= module.GROUP.queries
     ORACLE_SQL |= module.GROUP.oracle_sql

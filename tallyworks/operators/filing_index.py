@@ -45,7 +45,7 @@ def plain(text: Column) -> Column:
 
 
 def marks(pages: DataFrame) -> DataFrame:
-    """doc_id, at (from 0), pos, tag (lower case, with a slash if it ends one), tag_end, href (of a link) and text of each mark of the pages (doc_id, html)."""
+    """doc_id, at (from 0), pos, tag (lower case, with a slash if it ends one), tag_end, href (of a link), bold (whether the tag begins bold type) and text of each mark of the pages (doc_id, html)."""
     pieces = pages.select("doc_id", F.posexplode(F.split(cleaned(F.col("html")), "<")).alias("at", "body"))
     before = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("body") + F.when(F.col("at") > 0, 1).otherwise(0)
@@ -55,7 +55,8 @@ def marks(pages: DataFrame) -> DataFrame:
     told = placed.withColumn("text", text)
     tag_end = F.when(F.col("tag") != "", F.col("pos") + F.length("body") - F.length("text") + 1).cast("int")
     target = F.regexp_extract("body", r"""(?is)^a\b[^>]*?\bhref\s*=\s*["']([^"'>]+)["']""", 1)
-    return told.select("doc_id", "at", "pos", "tag", tag_end.alias("tag_end"), F.when((F.col("tag") == "a") & (target != ""), target).alias("href"), "text")
+    bold = F.col("tag").isin("b", "strong") | ((F.col("tag") == "span") & F.col("body").rlike(r"(?is)^[^>]*font-weight:\s*bold"))
+    return told.select("doc_id", "at", "pos", "tag", tag_end.alias("tag_end"), F.when((F.col("tag") == "a") & (target != ""), target).alias("href"), bold.alias("bold"), "text")
 
 
 def _joined() -> Column:
@@ -63,12 +64,17 @@ def _joined() -> Column:
     return plain(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]), " "))
 
 
+def in_headings(marked: DataFrame) -> DataFrame:
+    """The marks with number (of the heading begun last) and inside (whether it is open)."""
+    order = Window.partitionBy("doc_id").orderBy("at")
+    opens, closes = F.col("tag").rlike("^h[1-6]$"), F.col("tag").rlike("^/h[1-6]$")
+    return marked.withColumn("number", F.sum(opens.cast("int")).over(order)).withColumn("inside", F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(order))
+
+
 def section_headings(marked: DataFrame) -> DataFrame:
     """doc_id, section_no (from 0), section_id, level, heading, start and end of the headings h1 to h6."""
-    order = Window.partitionBy("doc_id").orderBy("at")
     opens, closes = F.col("tag").rlike("^h[1-6]$"), F.col("tag").rlike("^/h[1-6]$")
-    read = marked.withColumn("number", F.sum(opens.cast("int")).over(order)).withColumn("inside", F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(order))
-    own = read.where(F.col("inside") | (closes & (F.col("number") > 0)))
+    own = in_headings(marked).where(F.col("inside") | (closes & (F.col("number") > 0)))
     level = F.min(F.when(opens, F.substring("tag", 2, 1).cast("int")))
     named = own.groupBy("doc_id", "number").agg(level.alias("level"), F.min(F.when(opens, F.col("pos"))).alias("start"), F.min(F.when(closes, F.col("tag_end"))).alias("end"), _joined_where(F.col("inside")).alias("heading"))
     kept = named.where(F.col("end").isNotNull() & (F.length("heading") > 0) & (F.length("heading") <= HEADING_CHARS))

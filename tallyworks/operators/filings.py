@@ -1,50 +1,10 @@
-"""Parts of long filings: sections, mentions of a topic, numbers of cells."""
+"""Parts of long filings: mentions of a topic, commentary, numbers of cells."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEADING = re.compile(r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>")
-LINK = re.compile(r"(?is)<a\b[^>]*href\s*=\s*[\"']#")
-LINKED = re.compile(r"(?is)<a\b[^>]*href\s*=\s*[\"']#[^>]*>\s*$")
-LEADERS = re.compile(r"(\.\s*){3,}\s*\d*|&#183;|&middot;")
-
-
-def bounds(html: str | None, wanted: str, most: int = 150_000) -> tuple[int | None, int | None, str]:
-    """Start, end and status of the section under the one heading that names ``wanted``.
-
-    It ends at the next heading of its level or above. Entries of a table of contents
-    (links within the page, dotted leaders) don't count; two headings are ambiguous.
-    """
-    if not html:
-        return None, None, "NOT_FOUND"
-    found, every = [], []
-    for m in HEADING.finditer(html):
-        title = re.sub(r"\s+", " ", re.sub(r"(?s)<[^>]*>", " ", m[2])).strip().lower()
-        every.append((m.start(), int(m[1])))
-        listed = LINK.search(m[2]) or LINKED.search(html[max(0, m.start() - 200) : m.start()]) or LEADERS.search(m[2])
-        if title and wanted.lower() in title and not listed:
-            found.append(every[-1])
-    if len(found) != 1:
-        return None, None, "AMBIGUOUS" if found else "NOT_FOUND"
-    start, level = found[0]
-    end = next((at for at, other in every if at > start and other <= level), min(len(html), start + most))
-    return start, end, "OK"
-
-
-def section_bounds(html: Column, wanted: str) -> Column:
-    @F.pandas_udf("start int, end int, status string")
-    def found(pages: pd.Series) -> pd.DataFrame:
-        rows = pd.DataFrame([bounds(p, wanted) for p in pages], columns=["start", "end", "status"])
-        return rows.astype({"start": "Int32", "end": "Int32"})
-
-    return found(html)
-
-
 def topic_mentions(sections: DataFrame, terms: list[str]) -> DataFrame:
     """For each (doc_id, term) the sections whose text contains the term, in any case, and how often."""
     plain = F.lower("text")

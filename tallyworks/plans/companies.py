@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import companies as O
 from ..operators import filings as P
+from ..operators import sections as S
 from ..operators.regions import region_revenue
 from ..sources import views as V
 from ..sources.tables import read_table
@@ -114,11 +115,30 @@ def management_commentary(spark, sf_dir):
     return P.commentary(releases(spark, sf_dir), ["expects", "sales between", "margin"])
 
 
-@query()
+CLEAN = r"regexp_replace(regexp_replace(html, '<!--.*?-->|<script\b[^>]*>.*?</\s*script[^>]*>|<style\b[^>]*>.*?</\s*style[^>]*>', '', 'gis'), '\s+on\w+=(\"[^\"]*\"|''[^'']*''|[^\s>]+)', ' ', 'gi')"
+CONTENTS = "<h1>Contents</h1><p><a href='#r'>Risk factors</a></p><h2><a href='#r'>Risk factors</a></h2><h2>Risk factors . . . . 7</h2>"
+ONE = "<h2 id='r'>Risk <i>factors</i></h2><p>text</p><h3>Deeper</h3>"
+ITEMS = "<p><a href='#i'><b>Item 1A</b></a></p><p><b>Item 1A</b>. Risks</p><p>t</p><p>see <b>Item 1AB</b></p>"
+LAST_ITEM = "<p><span style='font-weight: bold'>ITEM 2</span></p>"
+SECTIONED = (CONTENTS + ONE + "<h2>Next</h2>", CONTENTS + ONE + ONE + "<h2>Next</h2>", ITEMS + LAST_ITEM, "<p>nothing</p>")
+
+
+def sectioned_pages(spark, sf_dir):
+    """The pages with sections of four shapes behind them."""
+    shape = F.element_at(F.array(*[F.lit(s) for s in SECTIONED]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return pages(spark, sf_dir).select("doc_id", F.concat("html", shape).alias("html"))
+
+
+@query(f"""WITH p AS (SELECT page_id AS doc_id, length({CLEAN}) AS size FROM pages)
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN size + {len(CONTENTS)} END AS start, CASE WHEN doc_id % 4 = 0 THEN size + {len(CONTENTS + ONE)} END AS "end", CASE doc_id % 4 WHEN 0 THEN 'OK' WHEN 1 THEN 'AMBIGUOUS' ELSE 'NOT_FOUND' END AS status FROM p""")
 def section_bounds(spark, sf_dir):
-    extra = F.lit("<h1>Contents</h1><p><a href='#r'>Risk factors</a></p><h2><a href='#r'>Risk factors</a></h2><h2 id='r'>Risk factors</h2><p>text</p><h3>Deeper</h3><h2>Next</h2>")
-    rows = pages(spark, sf_dir).select("doc_id", F.concat("html", extra).alias("html"))
-    return rows.select("doc_id", P.section_bounds(F.col("html"), "risk factors").alias("b")).select("doc_id", "b.*")
+    return S.section_bounds(sectioned_pages(spark, sf_dir), "risk factors")
+
+
+@query(f"""WITH p AS (SELECT page_id AS doc_id, length({CLEAN}) AS size FROM pages)
+SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN size + {ITEMS.index("<b>Item 1A</b>. Risks")} END AS start, CASE WHEN doc_id % 4 = 2 THEN size + {ITEMS.index("<b>Item 1AB")} END AS "end", CASE doc_id % 4 WHEN 2 THEN 'OK' ELSE 'NOT_FOUND' END AS status FROM p""")
+def item_bounds(spark, sf_dir):
+    return S.section_bounds(sectioned_pages(spark, sf_dir), "Item 1A")
 
 
 @query("""SELECT s_suppkey AS doc_id, CAST(s_suppkey + 10 AS DOUBLE) * 1e6 AS region_revenue, CAST(s_suppkey + 10 + 200 AS DOUBLE) * 1e6 AS total_revenue,

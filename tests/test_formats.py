@@ -34,13 +34,6 @@ def test_pages_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 3
 
 
-def test_section_bounds():
-    html = "<h2><a href='#r'>Risk</a></h2><h2>Risk .... 7</h2><h2 id='r'>Risk</h2><p>x</p><h3>y</h3><h2>Next</h2>"
-    start, end, status = filings.bounds(html, "risk")
-    assert (html[start:end], status) == ("<h2 id='r'>Risk</h2><p>x</p><h3>y</h3>", "OK")
-    assert filings.bounds(html + "<h2>Risk</h2>", "risk")[2] == "AMBIGUOUS" and filings.bounds(None, "risk")[2] == "NOT_FOUND"
-
-
 def test_issuer_identity(spark):
     got = companies.identities(spark.createDataFrame([("A", "International Machines of Business, Inc.")], "ticker string, name string")).first()
     assert got["aliases"] == ["international machines of business inc", "international machines of business"] and got["acronym"] == "imb"

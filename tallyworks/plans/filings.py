@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filing_index as X
+from ..operators.ownership import ownership_transactions
 from ..operators.regions import region_revenue
 from ..sources.tables import read_table
 from .registry import Group
@@ -174,3 +175,43 @@ def filing_exhibits(spark, sf_dir):
 @query(f"WITH {EXHIBITS_SQL} SELECT doc_id, arg_min(document, position) AS document FROM exhibits WHERE status = 'OK' AND document <> '' AND (sequence = '1' OR type = '10-K') GROUP BY doc_id")
 def primary_documents(spark, sf_dir):
     return X.primary_documents(X.exhibits(index_pages(spark, sf_dir)))
+
+
+def ownership_forms(spark, sf_dir):
+    """Ownership forms of customers whose orders are the transactions: XML for even customers, HTML for odd ones."""
+    o, c = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
+    k, text = F.col("o_orderkey"), lambda c: c.cast("string")
+    even, day = F.col("o_custkey") % 2 == 0, F.to_date("o_orderdate")
+    code = F.element_at(F.array(*[F.lit(x) for x in "PSAMZ"]), (k % 5 + 1).cast("int"))
+    shares, price, held = text(k % 5000 + 1), F.concat(text(k % 300), F.lit(".25")), F.when(k % 3 == 0, "I").otherwise("D")
+    value = lambda tag, v: F.concat(F.lit(f"<{tag}><value>"), v, F.lit(f"</value></{tag}>"))
+    paid = F.when(k % 7 == 0, "<transactionPricePerShare></transactionPricePerShare>").otherwise(value("transactionPricePerShare", price))
+    in_xml = F.concat(
+        F.lit("<nonDerivativeTransaction>"), value("transactionDate", text(day)), F.lit("<transactionCoding><transactionCode>"), code, F.lit("</transactionCode></transactionCoding><transactionAmounts>"), value("transactionShares", shares), paid,
+        F.lit("</transactionAmounts><ownershipNature>"), value("directOrIndirectOwnership", held), F.lit("</ownershipNature></nonDerivativeTransaction>"),
+    )
+    shown = F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("<span>$</span><span>"), price, F.lit("</span>")))
+    cells = [F.lit("Stock"), F.date_format(day, "MM/dd/yyyy"), F.lit(""), code, F.lit(""), F.concat(F.format_number(k % 5000 + 1, 0), F.lit("<sup>(2)</sup>")), F.lit("D"), F.concat(shown, F.lit("<sup>(1)</sup>")), F.lit("9"), held]
+    in_html = F.concat(F.lit("<tr>"), *[x for cell in cells for x in (F.lit("<td>"), cell, F.lit("</td>"))], F.lit("</tr>"))
+    deals = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), F.when(even, in_xml).otherwise(in_html).alias("deal")))), lambda r: r["deal"]), "").alias("deals"))
+    n = F.col("c_custkey")
+    flag = lambda some, yes: F.when(some, yes).otherwise("")
+    whole_xml = F.concat(
+        F.lit("<ownershipDocument><reportingOwner><reportingOwnerId><rptOwnerName>"), "c_name", F.lit("</rptOwnerName></reportingOwnerId><reportingOwnerRelationship>"), flag(n % 3 == 0, "<isDirector>1</isDirector>"), flag(n % 4 < 2, "<isOfficer>true</isOfficer>"),
+        F.lit("</reportingOwnerRelationship></reportingOwner><nonDerivativeTable>"), "deals", F.lit("</nonDerivativeTable></ownershipDocument>"),
+    )
+    whole_html = F.concat(
+        F.lit('<table><tr><td><a href="/cgi?action=getcompany&amp;CIK=1">'), "c_name", F.lit("</a></td></tr><tr><td>"), flag(n % 3 == 0, "X"), F.lit("</td><td>Director</td></tr><tr><td>"), flag(n % 4 < 2, "X"), F.lit("</td><td>Officer (give title below)</td></tr></table>"),
+        F.lit("<table><tr><th colspan=10>Table I - Non-Derivative Securities</th></tr><tr><th>1. Title</th><th>2. Transaction Date</th></tr><tr><th></th><th></th><th></th><th>Code</th><th>V</th><th>Amount</th><th>(A) or (D)</th><th>Price</th></tr>"), "deals", F.lit("</table>"),
+    )
+    return c.join(deals, n == F.col("o_custkey")).select(n.alias("doc_id"), F.when(even, whole_xml).otherwise(whole_html).alias("body"))
+
+
+@query("""
+SELECT c_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS position, c_name AS owner,
+       nullif(concat_ws(', ', CASE WHEN c_custkey % 3 = 0 THEN 'director' END, CASE WHEN c_custkey % 4 < 2 THEN 'officer' END), '') AS role, ['P', 'S', 'A', 'M', 'Z'][o_orderkey % 5 + 1] AS code,
+       ['Purchase', 'Sale', 'Award', 'Exercise', 'Other/Unclassified'][o_orderkey % 5 + 1] AS kind, CAST(o_orderkey % 5000 + 1 AS DOUBLE) AS shares, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 300 + 0.25e0 END AS price,
+       CASE WHEN o_orderkey % 7 > 0 THEN round((o_orderkey % 5000 + 1) * (o_orderkey % 300 + 0.25e0), 2) END AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'I' ELSE 'D' END AS ownership_form, CAST(o_orderdate AS DATE) AS transaction_date
+FROM orders JOIN customer ON o_custkey = c_custkey""")
+def ownership_rows(spark, sf_dir):
+    return ownership_transactions(ownership_forms(spark, sf_dir))

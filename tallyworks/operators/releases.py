@@ -52,15 +52,17 @@ def guidance(texts: DataFrame) -> DataFrame:
     Status FOUND or NOT_DISCLOSED. A scale that stands behind the second number only holds for both.
     """
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\r\f]+", " ")
+    # the text is searched once a metric; the parts are cut from what was found
+    found = texts.select("doc_id", *[F.regexp_extract(plain, pattern, 0).alias(metric) for metric, pattern, _, _ in GUIDANCE])
     rows = []
     for metric, pattern, scaled, unit in GUIDANCE:
-        low, low_scale, high, high_scale = (F.regexp_extract(plain, pattern, i) for i in (1, 2, 3, 4))
+        low, low_scale, high, high_scale = (F.regexp_extract(metric, pattern, i) for i in (1, 2, 3, 4))
         if scaled:
             low, high = _amount(low, F.when(low_scale == "", high_scale).otherwise(low_scale)), _amount(high, high_scale)
         else:
             low, high = low.try_cast("double"), high.try_cast("double")
-        rows.append(F.struct(F.lit(metric).alias("metric"), low.alias("low"), high.alias("high"), F.lit(unit).alias("unit"), F.nullif(F.trim(F.regexp_extract(plain, pattern, 0)), F.lit("")).alias("excerpt")))
-    told = texts.select("doc_id", F.inline(F.array(*rows)))
+        rows.append(F.struct(F.lit(metric).alias("metric"), low.alias("low"), high.alias("high"), F.lit(unit).alias("unit"), F.nullif(F.trim(metric), F.lit("")).alias("excerpt")))
+    told = found.select("doc_id", F.inline(F.array(*rows)))
     both = F.col("low").isNotNull() & F.col("high").isNotNull()
     kept = lambda c: F.when(both, F.col(c)).alias(c)
     return told.select("doc_id", "metric", kept("low"), kept("high"), ((F.col("low") + F.col("high")) / 2).alias("midpoint"), "unit", F.when(both, "FOUND").otherwise("NOT_DISCLOSED").alias("status"), kept("excerpt"))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import html as html_lib
-import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -127,54 +125,6 @@ def fiscal_period(text: Column) -> Column:
     return F.when((year != "") & number.isNotNull(), F.concat(F.lit("FY"), year, F.lit(" Q"), number.cast("string"))).when(year != "", F.concat(F.lit("FY"), year))
 
 
-def html_tables(docs: DataFrame) -> DataFrame:
-    """doc_id, position and rows of each table; a table within a table is its own and not part of the outer one's rows."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc_id, html in zip(batch["doc_id"], batch["html"], strict=True):
-                out += [(doc_id, i, rows) for i, rows in enumerate(parse_tables(html or ""))]
-            yield pd.DataFrame(out, columns=["doc_id", "position", "rows"])
-
-    return docs.select("doc_id", "html").mapInPandas(parse, "doc_id long, position int, rows array<array<string>>")
-
-
-TAG = re.compile(r"(?is)<(/?)(table|tr|td|th)\b[^>]*>")
-
-
-def parse_tables(html: str) -> list[list[list[str]]]:
-    """The tables of a page in order of their start, as rows of cell texts."""
-    tables: list[list[list[str]]] = []
-    open_tables: list[dict] = []
-    at = 0
-    for tag in TAG.finditer(html):
-        if open_tables and open_tables[-1]["cell"] is not None:
-            open_tables[-1]["cell"].append(html[at : tag.start()])
-        at = tag.end()
-        closing, name = bool(tag[1]), tag[2].lower()
-        if name == "table" and not closing:
-            tables.append([])
-            open_tables.append({"rows": tables[-1], "cell": None})
-        elif not open_tables:
-            continue
-        else:
-            top = open_tables[-1]
-            if top["cell"] is not None:
-                text = re.sub(r"\s+", " ", html_lib.unescape(re.sub(r"(?s)<[^>]*>", " ", "".join(top["cell"])))).strip()
-                if not top["rows"]:
-                    top["rows"].append([])
-                top["rows"][-1].append(text)
-                top["cell"] = None
-            if name == "table":
-                open_tables.pop()
-            elif name == "tr" and not closing:
-                top["rows"].append([])
-            elif name in ("td", "th") and not closing:
-                top["cell"] = []
-    return [[row for row in rows if row] for rows in tables]
-
-
 def markdown(html: Column) -> Column:
     """Headings, list items and paragraphs as Markdown lines."""
     text = F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</(script|style)>", "")

@@ -116,6 +116,14 @@ def table_cells(tabled: DataFrame) -> DataFrame:
     return texts.select("doc_id", "table_no", row_no, cell_no, "text")
 
 
+def html_tables(pages: DataFrame) -> DataFrame:
+    """doc_id, position and rows (arrays of cell texts) of each table with cells of the pages (doc_id, html)."""
+    cells = table_cells(table_marks(marks(pages)))
+    in_order = lambda place, what: F.transform(F.sort_array(F.collect_list(F.struct(place, what))), lambda s: s[what])
+    rows = cells.groupBy("doc_id", "table_no", "row_no").agg(in_order("cell_no", "text").alias("row"))
+    return rows.groupBy("doc_id", F.col("table_no").alias("position")).agg(in_order("row_no", "row").alias("rows"))
+
+
 def table_frames(tabled: DataFrame, scales: dict[str, tuple[str, ...]] = SCALES, unit_before: int = UNIT_BEFORE) -> DataFrame:
     """doc_id, table_no, start, end, unit_scale and title (null if none stands near enough) of each table.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import documents as O
+from ..operators import filing_index as X
 from ..sources.tables import read_table
 from .registry import Group
 
@@ -127,10 +128,12 @@ def fiscal_period_parse(spark, sf_dir):
     return releases(spark, sf_dir).select("doc_id", O.fiscal_period(F.col("text")).alias("period"))
 
 
-@query()
+@query("""SELECT page_id AS doc_id, 0 AS position, CAST(to_json([[CAST(page_id AS VARCHAR), CAST(length(html) AS VARCHAR)]]) AS VARCHAR) AS rows FROM pages
+UNION ALL SELECT page_id, 1, '[["inner"]]' FROM pages""")
 def html_tables(spark, sf_dir):
     row = F.concat(F.lit("<tr><th>"), F.col("doc_id").cast("string"), F.lit("</th><td>"), F.length("html").cast("string"), F.lit("<table><tr><td>inner</td></tr></table></td></tr>"))
-    return O.html_tables(pages(spark, sf_dir).select("doc_id", F.concat(F.lit("<table>"), row, F.lit("</table>"), F.col("html")).alias("html")))
+    found = X.html_tables(pages(spark, sf_dir).select("doc_id", F.concat(F.lit("<table>"), row, F.lit("</table>"), F.col("html")).alias("html")))
+    return found.withColumn("rows", F.to_json("rows"))
 
 
 @query()

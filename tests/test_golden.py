@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyworks.functions import ladders
-from tallyworks.operators import analyst, documents, events, facts, fundamentals, funds, options, timeseries
+from tallyworks.operators import analyst, documents, events, facts, filing_index, fundamentals, funds, options, timeseries
 
 D = dt.date
 
@@ -132,9 +132,10 @@ def test_reported_metric_and_period(spark):
     assert period.select(documents.fiscal_period(F.col("t"))).first()[0] == "FY2026 Q4"
 
 
-def test_nested_tables():
+def test_nested_tables(spark):
     html = "<table><tr><th>a</th><td>b<table><tr><td>in &amp; out</td></tr></table></td></tr><tr><td>c</td></tr></table>"
-    assert documents.parse_tables(html) == [[["a", "b"], ["c"]], [["in & out"]]]
+    rows = filing_index.html_tables(spark.createDataFrame([(1, html)], "doc_id long, html string")).orderBy("position").collect()
+    assert [r["rows"] for r in rows] == [[["a", "b"], ["c"]], [["in & out"]]]
 
 
 def test_insider_transactions(spark):

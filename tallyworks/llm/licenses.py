@@ -2,10 +2,12 @@
 
 The postings of the index are (word, notice, place), for each notice's words of
 highest inverse document frequency, which is counted over all documents. A file's
-occurrences of those words are joined with the postings; each gives an offset at
-which the notice would stand. Offsets on which rare words agree are looked at: the
-notice's words are compared there and its mandatory key phrases are checked. Three
-fixed phrases are found besides, wherever they stand.
+occurrences of those words are joined with the postings (all of them, as a file can
+hold many notices); each gives an offset at which the notice would stand. Where rare
+words agree on offsets within a band, as words may have been added or left out
+between them, the notice is aligned with the file's words (longest common
+subsequence, bit-parallel) and its mandatory key phrases are checked. Three fixed
+phrases are found besides, wherever they stand.
 
 A text's licence words are found in one reading, which keeps their places. Only texts
 with an agreed offset are read again, once each, and no text meets another.
@@ -33,9 +35,12 @@ from .license_texts import COMMON, NOTICES
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("cc by", 0, "cc-by"), ("general public license", 2, "gpl"), ("all rights reserved", 2, "reserved"))
 
-RARE_OF_NOTICE = 3
+RARE_OF_NOTICE = 8
 AGREEING = 2
+#: Offsets so near each other agree; so many words around a notice's place belong to it.
+BAND = 3
 LEAST_SHARE = 0.6
+#: A notice has at most 60 words, as its alignment is one long.
 LONGEST = max(len(text.split()) for _, text, _ in NOTICES)
 
 
@@ -79,9 +84,14 @@ def licence_hits(docs: DataFrame) -> DataFrame:
 
 
 def notices(spark: SparkSession) -> DataFrame:
-    """notice (its number), label, words and keys of each notice: as many rows as NOTICES."""
-    rows = [(i, label, text.split(), list(keys)) for i, (label, text, keys) in enumerate(NOTICES)]
-    return spark.createDataFrame(rows, "notice int, label string, words array<string>, keys array<string>")
+    """notice (its number), label, words, keys and masks (the bits of each word's places) of each notice: as many rows as NOTICES."""
+    rows = []
+    for i, (label, text, keys) in enumerate(NOTICES):
+        masks = {}
+        for place, word in enumerate(text.split()):
+            masks[word] = masks.get(word, 0) | 1 << place
+        rows.append((i, label, text.split(), list(keys), masks))
+    return spark.createDataFrame(rows, "notice int, label string, words array<string>, keys array<string>, masks map<string,bigint>")
 
 
 def rare_index(found: DataFrame) -> DataFrame:
@@ -99,12 +109,25 @@ def rare_index(found: DataFrame) -> DataFrame:
 
 
 def agreed_offsets(found: DataFrame, index: DataFrame) -> DataFrame:
-    """k1, k2, notice and start: where rare words of a notice agree that it would stand."""
+    """k1, k2, notice and start: where rare words of a notice agree, within the band from there, that it would stand."""
     hits = found.select("k1", "k2", F.inline("hits"))
     met = hits.join(F.broadcast(index), "word")  # RARE_OF_NOTICE words a notice, at a few places each
     bit = F.call_function("shiftleft", F.lit(1), F.col("rank"))
     told = met.groupBy("k1", "k2", "notice", "n_rare", (F.col("at") - F.col("place")).alias("start")).agg(F.bit_or(bit).alias("agree"))
-    return told.where((F.col("start") >= 0) & (F.bit_count("agree") >= F.least(F.lit(AGREEING), F.col("n_rare")))).select("k1", "k2", "notice", "start")
+    near = Window.partitionBy("k1", "k2", "notice").orderBy("start").rangeBetween(0, BAND)  # a text's own offsets
+    agreed = F.bit_count(F.bit_or("agree").over(near)) >= F.least(F.lit(AGREEING), F.col("n_rare"))
+    return told.withColumn("agreed", agreed).where("agreed").select("k1", "k2", "notice", "start")
+
+
+def common_words(span: Column, words: Column, masks: Column) -> Column:
+    """The length of the longest common subsequence of ``span`` and a notice's words: the zeros that its bits end with."""
+    every = F.call_function("shiftleft", F.lit(1).cast("long"), F.size(words)) - 1
+
+    def step(row: Column, word: Column) -> Column:
+        met = row.bitwiseAND(F.coalesce(F.try_element_at(masks, word), F.lit(0).cast("long")))
+        return (row + met).bitwiseOR(row - met).bitwiseAND(every)
+
+    return F.size(words) - F.bit_count(F.aggregate(span, every, step))
 
 
 def aligned(docs: DataFrame, found: DataFrame, index: DataFrame) -> DataFrame:
@@ -114,14 +137,19 @@ def aligned(docs: DataFrame, found: DataFrame, index: DataFrame) -> DataFrame:
     texts = asked.groupBy("k1", "k2").agg(F.min("text").alias("text")).join(wanted, ["k1", "k2"])
 
     def cut(words: Column) -> Column:
-        return F.transform("wanted", lambda p: F.struct(p["notice"].alias("notice"), F.slice(words, p["start"] + 1, F.lit(LONGEST)).alias("span")))
+        def span(start: Column) -> Column:
+            first, end = F.greatest(start - BAND, F.lit(0)), start + LONGEST + BAND
+            return F.struct(first.alias("first"), F.slice(words, first + 1, F.greatest(end - first, F.lit(0))).alias("span"))
+
+        return F.transform("wanted", lambda p: F.struct(p["notice"].alias("notice"), p["start"].alias("start"), span(p["start"]).alias("cut")))
 
     # as an element the words are cut once, not at each offset
     spans = texts.select("k1", "k2", F.inline(F.transform(F.array(words_of(F.col("text"))), cut)[0]))
-    both = spans.join(F.broadcast(notices(docs.sparkSession)), "notice").withColumn("span", F.slice("span", F.lit(1), F.size("words")))
+    length = F.greatest(F.col("start") + F.size("words") + BAND - F.col("cut.first"), F.lit(0))
+    both = spans.join(F.broadcast(notices(docs.sparkSession)), "notice").withColumn("span", F.slice("cut.span", F.lit(1), length))
     padded = F.concat(F.lit(" "), F.array_join("span", " "), F.lit(" "))
     verified = F.forall("keys", lambda k: F.contains(padded, F.concat(F.lit(" "), k, F.lit(" "))))
-    same = F.size(F.filter(F.zip_with("span", "words", lambda a, b: a == b), lambda x: x))
+    same = common_words(F.col("span"), F.col("words"), F.col("masks"))
     rated = both.where(verified).select("k1", "k2", "label", (same / F.size("words")).alias("share")).where(F.col("share") >= LEAST_SHARE)
     return rated.groupBy("k1", "k2").agg(F.collect_set("label").alias("method"), F.max("share").alias("score"))  # as many labels as NOTICES
 
@@ -163,13 +191,19 @@ def scan_license_text(text: str | None, rare: dict[int, set[str]]) -> dict:
     shares = {}
     for n, (label, notice, keys) in enumerate(NOTICES):
         plain = notice.split()
-        for start in range(len(words)):
-            span = words[start : start + len(plain)]
-            agree = {a for a, b in zip(span, plain, strict=False) if a == b and a in rare[n]}
-            if len(agree) >= min(AGREEING, len(rare[n])) and all(f" {k} " in f" {' '.join(span)} " for k in keys):
-                share = sum(a == b for a, b in zip(span, plain, strict=False)) / len(plain)
-                if share >= LEAST_SHARE:
-                    shares[label] = max(share, shares.get(label, 0))
+        for start in range(-len(plain), len(words)):
+            # the rare words that stand within the band from where this start puts them
+            agree = {w for place, w in enumerate(plain) if w in rare[n] and w in words[max(start + place, 0) : max(start + place + BAND + 1, 0)]}
+            here = any(w in rare[n] and words[max(start + place, 0) : max(start + place + 1, 0)] == [w] for place, w in enumerate(plain))
+            span = words[max(start - BAND, 0) : max(start + len(plain) + BAND, 0)]
+            if here and len(agree) >= min(AGREEING, len(rare[n])) and all(f" {k} " in f" {' '.join(span)} " for k in keys):
+                lengths = [0] * (len(span) + 1)
+                for word in plain:
+                    above = 0
+                    for i, other in enumerate(span, 1):
+                        above, lengths[i] = lengths[i], above + 1 if word == other else max(lengths[i], lengths[i - 1])
+                if lengths[-1] / len(plain) >= LEAST_SHARE:
+                    shares[label] = max(lengths[-1] / len(plain), shares.get(label, 0))
     base = {label for _, label in places}
     return {
         "n_words": len(words),

@@ -18,6 +18,8 @@ case. A number can have separators and decimals; a unit is a word of a fixed
 list after a number. An item of fewer words than a window is one
 window of its own length; one of fewer than LEAST_WORDS words is no evidence.
 
+A document and an item are compared only if they share one of the item's rarest
+windows, so many of them that no contamination is without one (``rare_windows``).
 The windows move as hashes and places only; the words behind the placeholders are
 read once more, from the documents that met a window, once for each text.
 
@@ -30,7 +32,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import ask_bloom, blocked_bloom, keep_rows, row_keys
@@ -146,24 +148,42 @@ def item_windows(items: DataFrame) -> DataFrame:
     return told.drop("kind").distinct()
 
 
-def met_windows(docs: DataFrame, listed: DataFrame) -> DataFrame:
-    """doc_id, k1, k2, doc_at and the item's window, for each window of a document that an item has too."""
+def rare_windows(listed: DataFrame, least_coverage: float) -> DataFrame:
+    """item_id, n_windows and window of the places of each item whose windows the fewest items have.
+
+    They are all places but one fewer than those that have to be met, so a document that
+    meets enough of an item's places meets one of these. A phrase that many items share
+    is thus no key, unless it alone is enough of an item.
+    """
+    items = listed.groupBy("window").agg(F.count_distinct("item_id").alias("items"))
+    place = Window.partitionBy("item_id", "n_windows", "at")
+    ranked = Window.partitionBy("item_id", "n_windows").orderBy("most", "at")  # an item's own windows
+    counted = listed.select("item_id", "n_windows", "at", "window").join(items, "window").withColumn("most", F.max("items").over(place))
+    need = F.greatest(F.ceil(F.col("n_windows") * least_coverage - 1e-9), F.lit(1))
+    rare = counted.withColumn("rank", F.dense_rank().over(ranked)).where(F.col("rank") <= F.col("n_windows") - need + 1)
+    return rare.select("item_id", "n_windows", "window").distinct()
+
+
+def met_windows(docs: DataFrame, listed: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
+    """doc_id, k1, k2, doc_at and the item's window, for each window that a document and an item have, of the pairs that share a rare one."""
     total = listed.count()
     widths = sorted(r["width"] for r in listed.select("width").distinct().collect())  # WINDOW and fewer
     if not widths:
         return docs.select("doc_id", *row_keys(), F.lit(0).alias("doc_at")).limit(0).join(listed, F.lit(False))
+    few = F.broadcast if total <= BROADCAST_WINDOWS else lambda table: table
     # the keys are made below the windows, so once a text
     words = docs.where("text is not null").select("doc_id", *row_keys(), marked_words(F.col("text")).alias("words"))
     read = words.select("doc_id", "k1", "k2", F.inline(windows(F.col("words"), widths)))
     one_only = F.expr("one = two and one = three")
     hashes = F.when(one_only, F.array("one")).otherwise(F.array_distinct(F.array(*TEMPLATES)))
-    cut = read.select("doc_id", "k1", "k2", F.col("at").alias("doc_at"), F.explode(hashes).alias("doc_window"))
-    if total <= BROADCAST_WINDOWS:
-        listed = F.broadcast(listed)
-    else:
-        cut = ask_bloom(cut, "doc_window", blocked_bloom(listed, "window"), "maybe").where("maybe").drop("maybe")
+    cut = read.select("doc_id", "k1", "k2", F.col("at").alias("doc_at"), F.explode(hashes).alias("window"))
+    if total > BROADCAST_WINDOWS:
+        cut = ask_bloom(cut, "window", blocked_bloom(listed, "window"), "maybe").where("maybe").drop("maybe")
+    # one row for each window of a document, whatever the number of items that have it;
     # rows that repeat id and text become one before they move
-    return cut.join(listed, F.col("doc_window") == F.col("window")).drop("doc_window", "window").distinct()
+    hits = durable(cut.join(few(listed.select("window").distinct()), "window").distinct())
+    pairs = hits.join(few(rare_windows(listed, least_coverage)), "window").select("k1", "k2", "item_id", "n_windows").distinct()
+    return pairs.join(few(listed), ["item_id", "n_windows"]).join(hits, ["k1", "k2", "window"]).drop("window")
 
 
 def words_behind(docs: DataFrame, met: DataFrame) -> DataFrame:
@@ -183,7 +203,7 @@ def words_behind(docs: DataFrame, met: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, items: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
     """doc_id, k1, k2 (the row's keys), item_id, of_item (its windows), n_windows (those that count) and coverage of each leak."""
-    met = durable(met_windows(docs, durable(item_windows(items))))
+    met = durable(met_windows(docs, durable(item_windows(items)), least_coverage))
     own, nothing = ["doc_id", "k1", "k2", "item_id", "n_windows"], F.array().cast("array<struct<a:string,b:string>>")
     diagonal = (F.col("doc_at") - F.col("at")).alias("diagonal")
     pairs = F.transform("slots", lambda s: F.struct(F.concat(s["mark"], s["value"]).alias("a"), F.concat(s["mark"], F.get("theirs", s["place"])).alias("b")))

@@ -304,6 +304,25 @@ def test_an_item_many_times_in_one_text(spark):
     assert time.perf_counter() - began < 60
 
 
+def test_a_phrase_of_many_items_makes_no_pairs(spark):
+    """Items and documents with one closing phrase: rows grow with both, not with their product, and no leak is lost."""
+    from tallyworks.llm.decontaminate import item_windows, met_windows
+
+    rng = random.Random(77)
+    phrase = "how many of them are left at the end of the day show your work"
+    rows = []
+    for n in (60, 120):
+        own = [sentence(rng, 26) for _ in range(n)]
+        items = [(i, f"{words} {phrase}") for i, words in enumerate(own)]
+        texts = [f"{sentence(rng, 30)} {phrase} {sentence(rng, 5)}" for _ in range(n)] + [f"{sentence(rng, 9)} {items[i][1]}" for i in range(5)]
+        texts += [f"{sentence(rng, 9)} {' '.join(own[7].split()[-8:])} {phrase}", own[8]]
+        items, docs = spark.createDataFrame(items, "item_id long, text string"), docs_of(spark, texts)
+        rows.append(met_windows(docs, item_windows(items)).count())
+        got = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, items).collect()}
+        assert got == {(n + i, i) for i in range(5)} | {(n + 5, 7), (n + 6, 8)}
+    assert rows[0] == rows[1]  # the leaks' windows only
+
+
 def test_decontamination_beyond_the_broadcast(spark, monkeypatch):
     from tallyworks.llm import decontaminate
 

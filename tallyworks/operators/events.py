@@ -87,16 +87,25 @@ def timeline(news: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def claim_matches(claims: DataFrame, news: DataFrame) -> DataFrame:
-    """The items that support each claim: those with at least two thirds of its words (all of one or two)."""
-    wanted = claims.withColumn("claim_words", F.array_distinct(title_words(F.col("ticker"), F.col("text"))))
-    items = news.select("item_id", "ticker", "source_rank", F.to_date("published_at").alias("day"), F.array_distinct(title_words(F.col("ticker"), F.col("title"))).alias("words"))
+    """The items that support each claim: those with at least two thirds of its words (all of one or two).
+
+    Of n words so many must be shared that one of the claim's rarest ones is; a claim meets the
+    items of its ticker with such a word only, once each. ``n_shared`` counts all shared words.
+    """
+    words = F.array_distinct(title_words(F.col("ticker"), F.col("text")))
     n = F.size("claim_words")
-    need = F.when(n <= 2, n).otherwise(F.ceil(0.67 * n))
-    # a claim meets only the items of its ticker that share a word with it
-    asked = wanted.select("claim_id", "ticker", "start", "end", need.alias("need"), F.explode("claim_words").alias("word"))
-    told = items.select("item_id", "ticker", "source_rank", "day", F.explode("words").alias("word"))
-    shared = asked.join(told, ["ticker", "word"]).groupBy("claim_id", "start", "end", "need", "item_id", "source_rank", "day").agg(F.count("*").alias("n_shared"))
-    return shared.where(F.col("n_shared") >= F.col("need"))
+    need = F.when(n <= 2, n).otherwise(F.ceil(0.67 * n)).cast("int")
+    wanted = claims.select("claim_id", "ticker", "start", "end", words.alias("claim_words")).withColumn("need", need)
+    items = news.select("item_id", "ticker", "source_rank", F.to_date("published_at").alias("day"), F.array_distinct(title_words(F.col("ticker"), F.col("title"))).alias("words"))
+    told = items.withColumn("word", F.explode("words"))
+    held = told.groupBy("ticker", "word").agg(F.count("*").alias("n_items"))
+    asked = wanted.withColumn("word", F.explode("claim_words")).join(held, ["ticker", "word"], "left")
+    by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("n_items", F.lit(0)).alias("n_items"), "word")))["word"]  # a claim's own words
+    rare = asked.groupBy(wanted.columns).agg(by_rarity.alias("rare")).withColumn("rare", F.slice("rare", F.lit(1), n - F.col("need") + 1))
+    met = rare.withColumn("word", F.explode("rare")).join(told, ["ticker", "word"])
+    once = F.filter("rare", lambda w: F.array_contains("words", w))[0] == F.col("word")
+    shared = met.where(once).withColumn("n_shared", F.size(F.array_intersect("claim_words", "words")))
+    return shared.where(F.col("n_shared") >= F.col("need")).select("claim_id", "start", "end", "need", "item_id", "source_rank", "day", "n_shared")
 
 
 def verify(claims: DataFrame, news: DataFrame, as_of: str, conflicts: DataFrame | None = None, limited: DataFrame | None = None) -> DataFrame:

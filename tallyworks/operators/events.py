@@ -108,27 +108,43 @@ def claim_matches(claims: DataFrame, news: DataFrame) -> DataFrame:
     return shared.where(F.col("n_shared") >= F.col("need")).select("claim_id", "start", "end", "need", "item_id", "source_rank", "day", "n_shared")
 
 
-def verify(claims: DataFrame, news: DataFrame, as_of: str, conflicts: DataFrame | None = None, limited: DataFrame | None = None) -> DataFrame:
+def naming_items(news: DataFrame, names: DataFrame) -> DataFrame:
+    """The ids of items whose title has the ticker as a word or the company's name (ticker, company; a null or empty name names nothing)."""
+    title = F.lower(F.coalesce("title", F.lit("")))
+    as_words = F.concat(F.lit(" "), F.regexp_replace(title, "[^a-z0-9]+", " "), F.lit(" "))
+    rows = news.join(names, "ticker")
+    company = F.coalesce(F.contains(title, F.lower(F.nullif("company", F.lit("")))), F.lit(False))
+    return rows.where(F.contains(as_words, F.concat(F.lit(" "), F.lower("ticker"), F.lit(" "))) | company).select("item_id").distinct()
+
+
+def verify(claims: DataFrame, news: DataFrame, as_of: str, conflicts: DataFrame | None = None, limited: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """What the news say of each claim (claim_id, ticker, text, start, end).
 
     Official support in the window confirms it, other support there confirms in part,
     support of over 90 days ago only is stale. With ``conflicts`` (group_id, groups whose
     reports disagree) a claim that one of their items supports is conflicting; with
-    ``limited`` (ticker) what is not found there may only be out of reach.
+    ``limited`` (ticker) what is not found there may only be out of reach; with ``names``
+    (ticker, company) a claim is confirmed in part only if none of its official items in
+    the window names the ticker or its company.
     """
     met = claim_matches(claims, news)
     if conflicts is not None:
         disputed = with_group(news).join(conflicts, "group_id", "left_semi").select("item_id", F.lit(True).alias("disputed"))
         met = met.join(disputed, "item_id", "left")
+    if names is not None:
+        met = met.join(naming_items(news, names).withColumn("naming", F.lit(True)), "item_id", "left")
     inside = F.col("day").between(F.col("start"), F.col("end"))
     old = F.col("day") < F.date_sub(F.lit(as_of).cast("date"), 90)
     counts = ("official", inside & (F.col("source_rank") == 0)), ("in_window", inside), ("support", F.lit(True)), ("old", old)
     if conflicts is not None:
         counts += (("conflicts", F.col("disputed")),)
+    if names is not None:
+        counts += (("naming", inside & (F.col("source_rank") == 0) & F.col("naming")),)
     found = met.groupBy("claim_id").agg(*[F.count_if(c).alias(name) for name, c in counts])
     every = claims.select("claim_id").distinct().join(found, "claim_id", "left")
     out = every.select("claim_id", *[F.coalesce(name, F.lit(0).cast("long")).alias(name) for name, _ in counts])
-    status = F.when(F.col("official") > 0, "CONFIRMED").when(F.col("in_window") > 0, "PARTIAL").when((F.col("support") > 0) & (F.col("support") == F.col("old")), "STALE").otherwise("NOT_FOUND")
+    confirmed = (F.col("official") > 0) & (F.col("naming") > 0) if names is not None else F.col("official") > 0
+    status = F.when(confirmed, "CONFIRMED").when(F.col("in_window") > 0, "PARTIAL").when((F.col("support") > 0) & (F.col("support") == F.col("old")), "STALE").otherwise("NOT_FOUND")
     if conflicts is not None:
         status = F.when(F.col("conflicts") > 0, "CONFLICTING").otherwise(status)
     out = out.withColumn("status", status)

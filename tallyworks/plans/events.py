@@ -109,6 +109,29 @@ def event_verify_states(spark, sf_dir):
     return O.verify(claims, news, "2024-05-01", disputed, limited)
 
 
+#: Of the official items, whose ids four divides, a quarter names the ticker, a quarter another one and a quarter the company.
+NAMED = "title || CASE item_id % 16 WHEN 4 THEN ' (' || ticker || ')' WHEN 8 THEN ' X' || ticker WHEN 12 THEN ' at Northern Registry' ELSE '' END"
+
+
+@query(f"""{N},
+told AS (SELECT * REPLACE ({NAMED} AS title) FROM news),
+claims AS (SELECT item_id AS claim_id, ticker, title AS text, DATE '2024-01-02' AS "start", DATE '2024-01-20' AS "end" FROM news),
+c AS (SELECT *, list_distinct({_words('text')}) AS cw FROM claims),
+n AS (SELECT ticker, source_rank, CAST(published_at AS DATE) AS day, list_distinct({_words('title')}) AS words,
+             regexp_matches(lower(title), '(^|[^a-z0-9])' || lower(ticker) || '([^a-z0-9]|$)') OR contains(lower(title), 'northern registry') AS named FROM told),
+s AS (SELECT claim_id, source_rank, named, day BETWEEN "start" AND "end" AS inside, day < DATE '2024-05-01' - 90 AS old,
+             len(cw) > 0 AND len(list_intersect(cw, words)) >= CASE WHEN len(cw) <= 2 THEN len(cw) ELSE ceil(0.67e0 * len(cw)) END AS ok
+      FROM c LEFT JOIN n USING (ticker)),
+g AS (SELECT claim_id, count(*) FILTER (ok AND inside AND source_rank = 0) AS official, count(*) FILTER (ok AND inside) AS in_window, count(*) FILTER (ok) AS support, count(*) FILTER (ok AND old) AS old,
+             count(*) FILTER (ok AND inside AND source_rank = 0 AND named) AS naming FROM s GROUP BY claim_id)
+SELECT *, CASE WHEN naming > 0 THEN 'CONFIRMED' WHEN in_window > 0 THEN 'PARTIAL' WHEN support > 0 AND support = old THEN 'STALE' ELSE 'NOT_FOUND' END AS status FROM g""")
+def event_verify_relevance(spark, sf_dir):
+    news = _news(spark, sf_dir)
+    claims = news.select(F.col("item_id").alias("claim_id"), "ticker", F.col("title").alias("text"), F.lit("2024-01-02").cast("date").alias("start"), F.lit("2024-01-20").cast("date").alias("end"))
+    names = news.select("ticker", F.lit("Northern Registry").alias("company")).distinct()
+    return O.verify(claims, news.withColumn("title", F.expr(NAMED)), "2024-05-01", names=names)
+
+
 @query(f"""{N}, w AS (SELECT item_id, ticker, published_at, list_distinct({_words('title')}) AS words FROM news),
 p AS (SELECT item_id, words, lag(item_id) OVER o AS before_id, lag(words) OVER o AS before FROM w WINDOW o AS (PARTITION BY ticker ORDER BY published_at, item_id))
 SELECT item_id, before_id, len(list_intersect(words, before)) / nullif(len(list_distinct(list_concat(words, before))), 0) AS jaccard FROM p WHERE before_id IS NOT NULL""")

@@ -1,8 +1,10 @@
 """Exhibits, ranked totals and allow-lists with fixed values and against plain loops."""
 
+import math
 import random
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
+from tallyworks.operators import events
 from tallyworks.operators import filing_index as X
 from tallyworks.operators.allow_lists import allowed_urls, content_allowed
 from tallyworks.operators.totals import with_total
@@ -72,3 +74,34 @@ def test_content_types(spark):
     items = spark.createDataFrame([(1, "Story"), (2, None), (3, ""), (4, "VIDEO")], "id long, content_type string")
     types = spark.createDataFrame([("STORY",), ("story",), (None,)], "content_type string")
     assert {r["id"]: r["rejected"] for r in content_allowed(items, types).collect()} == {1: None, 2: None, 3: None, 4: "CONTENT_TYPE"}
+
+
+def test_official_items_that_name_nobody_confirm_in_part(spark):
+    titles = ["Acme Works merger with Bolt approved", "merger with bolt approved", "ACM: merger with bolt approved", "merger with bolt approved by XACM", None]
+    news = spark.createDataFrame([(i, "ACM" if i < 4 else "ZZZ", 0, t, datetime(2024, 1, 5)) for i, t in enumerate(titles)], "item_id long, ticker string, source_rank int, title string, published_at timestamp")
+    claims = spark.createDataFrame([(1, "ACM", "merger with bolt approved", date(2024, 1, 1), date(2024, 1, 9))], "claim_id long, ticker string, text string, start date, end date")
+
+    def status(items, *names):
+        table = spark.createDataFrame(list(names), "ticker string, company string")
+        return events.verify(claims, news.where(items), "2024-05-01", names=table).first()["status"]
+
+    assert status("item_id = 0", ("ACM", "Acme Works")) == "CONFIRMED" and status("item_id = 0", ("ACM", None), ("ACM", "")) == "PARTIAL"
+    assert status("item_id in (1, 3, 4)", ("ACM", "Acme Works")) == "PARTIAL" and status("item_id in (1, 2)", ("ACM", None)) == "CONFIRMED"
+    assert status("false", ("ACM", None)) == "NOT_FOUND"
+    assert events.verify(claims, news.where("item_id = 1"), "2024-05-01").first()["status"] == "CONFIRMED"
+
+
+def test_claims_meet_items_by_rare_words_as_by_all_words(spark):
+    rng = random.Random(12)
+    words = ["common", "usual", "frequent", *[f"w{i}" for i in range(12)]]
+    news = [(i, f"T{i % 2}", " ".join(rng.choices(words, k=rng.randint(0, 8)))) for i in range(150)]
+    asked = [(i, f"T{i % 2}", " ".join(rng.choices([*words, "absent"], k=rng.randint(0, 9)))) for i in range(60)]
+    items = spark.createDataFrame([(*n, 1, datetime(2024, 1, 5)) for n in news], "item_id long, ticker string, title string, source_rank int, published_at timestamp")
+    claims = spark.createDataFrame([(*c, date(2024, 1, 1), date(2024, 1, 9)) for c in asked], "claim_id long, ticker string, text string, start date, end date")
+    want = set()
+    for c, ticker, text in asked:
+        mine = set(text.split())
+        need = len(mine) if len(mine) <= 2 else math.ceil(0.67 * len(mine))
+        want |= {(c, i, len(mine & set(t.split()))) for i, k, t in news if k == ticker and mine and len(mine & set(t.split())) >= need}
+    got = [(r["claim_id"], r["item_id"], r["n_shared"]) for r in events.claim_matches(claims, items).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want

@@ -42,20 +42,6 @@ def ask_bloom(df: DataFrame, key: str, bloom: DataFrame, flag: str, n_blocks: in
     return asked.withColumn(flag, hit).drop("bloom_asked", "bloom_block", "bloom_bits")
 
 
-def drop_listed(docs: DataFrame, listed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``listed`` (doc_id), in the columns of ``docs``.
-
-    Rows that the filter clears never move; only possible hits meet the list.
-    """
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("doc_id").alias("doc_key"))
-    keys = listed.select(F.xxhash64("doc_id").alias("doc_key"), F.col("doc_id").alias("listed_id"))
-    asked = ask_bloom(packed, "doc_key", blocked_bloom(keys, "doc_key"), "maybe")
-    clear = asked.where(~F.col("maybe")).select("row.*")
-    hits = asked.where("maybe").alias("a").join(keys.alias("k"), F.expr("a.doc_key = k.doc_key and a.row.doc_id <=> k.listed_id"), "left_anti")
-    return clear.unionByName(hits.select("row.*"))
-
-
 def row_keys() -> tuple[Column, Column]:
     """Two hashes with different seeds: 128 bits that stand for a row's doc_id and text."""
     return tuple(F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")).alias(k) for seed, k in enumerate(("k1", "k2")))

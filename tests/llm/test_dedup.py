@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyworks.llm.bloom import ask_bloom, blocked_bloom, drop_listed
+from tallyworks.llm.bloom import ask_bloom, blocked_bloom, keep_rows, row_keys
 from tallyworks.llm.components import connected_components
 from tallyworks.llm.exact_dedup import exact_copies, exact_digest
 from tallyworks.llm.line_dedup import banded_distance, drop_near_lines, letter_counts, line_classes, within
@@ -206,7 +206,7 @@ def test_bloom(spark):
     got = {r["id"]: r["maybe"] for r in asked.collect()}
     assert all(got[i] for i in range(500)) and sum(got.values()) < 2500
     docs = docs_of(spark, ["a"] * 50)
-    left = drop_listed(docs, docs.where("doc_id % 3 = 0").select("doc_id"))
+    left = keep_rows(docs, docs.where("doc_id % 3 = 0").select(*row_keys(), F.lit(False).alias("stays")))
     assert sorted(r["doc_id"] for r in left.collect()) == [i for i in range(50) if i % 3]
 
 

@@ -86,26 +86,56 @@ def timeline(news: DataFrame, limit: int = 20) -> DataFrame:
     return rows.select("ticker", "position", "item_id", F.to_date("published_at").alias("day"), "event_type", "source")
 
 
-def claim_matches(claims: DataFrame, news: DataFrame) -> DataFrame:
-    """The items that support each claim: those with at least two thirds of its words (all of one or two).
+#: Longs of 64 bits in a word set's mask.
+MASK_PARTS = 8
+
+
+def with_set(rows: DataFrame, text: str) -> DataFrame:
+    """The rows that have a ticker, with the different words of a text and the id of ticker and words."""
+    read = rows.where("ticker is not null").withColumn("words", F.array_sort(F.array_distinct(title_words(F.col("ticker"), F.col(text)))))
+    return read.withColumn("set_id", F.unhex(F.md5(F.concat_ws("\n", "ticker", F.array_join("words", " ")))))
+
+
+def _need(n: Column) -> Column:
+    """How many of a claim's n words an item must have: at least two thirds, all of one or two."""
+    return F.when(n <= 2, n).otherwise(F.ceil(0.67 * n)).cast("int")
+
+
+def set_matches(claims: DataFrame, items: DataFrame) -> DataFrame:
+    """claim_set, item_set, need and n_shared (the words shared) of the word sets (``with_set``) of which the second supports the first.
 
-    Of n words so many must be shared that one of the claim's rarest ones is; a claim meets the
-    items of its ticker with such a word only, once each. ``n_shared`` counts all shared words.
+    Of n words so many must be shared that one of the claim's rarest ones is, so a claim meets
+    the items with such a word only. What meets is hashes of words and masks, in which a word
+    sets one bit: a claim's bits that an item lacks are no more than its words that the item
+    lacks. Only sets that pass by their masks make rows, and their words are compared.
     """
-    words = F.array_distinct(title_words(F.col("ticker"), F.col("text")))
-    n = F.size("claim_words")
-    need = F.when(n <= 2, n).otherwise(F.ceil(0.67 * n)).cast("int")
-    wanted = claims.select("claim_id", "ticker", "start", "end", words.alias("claim_words")).withColumn("need", need)
-    items = news.select("item_id", "ticker", "source_rank", F.to_date("published_at").alias("day"), F.array_distinct(title_words(F.col("ticker"), F.col("title"))).alias("words"))
-    told = items.withColumn("word", F.explode("words"))
-    held = told.groupBy("ticker", "word").agg(F.count("*").alias("n_items"))
-    asked = wanted.withColumn("word", F.explode("claim_words")).join(held, ["ticker", "word"], "left")
-    by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("n_items", F.lit(0)).alias("n_items"), "word")))["word"]  # a claim's own words
-    rare = asked.groupBy(wanted.columns).agg(by_rarity.alias("rare")).withColumn("rare", F.slice("rare", F.lit(1), n - F.col("need") + 1))
-    met = rare.withColumn("word", F.explode("rare")).join(told, ["ticker", "word"])
-    once = F.filter("rare", lambda w: F.array_contains("words", w))[0] == F.col("word")
-    shared = met.where(once).withColumn("n_shared", F.size(F.array_intersect("claim_words", "words")))
-    return shared.where(F.col("n_shared") >= F.col("need")).select("claim_id", "start", "end", "need", "item_id", "source_rank", "day", "n_shared")
+    asked_sets, held_sets = (rows.groupBy("set_id").agg(F.any_value("ticker").alias("ticker"), F.any_value("words").alias("words")) for rows in (claims, items))
+    keyed = lambda sets: sets.select("set_id", F.explode(F.transform("words", lambda w: F.xxhash64("ticker", w))).alias("key"))
+    mask = F.array(*[F.coalesce(F.expr(f"bit_or(CASE WHEN (shiftright(key, 6) & {MASK_PARTS - 1}) = {i} THEN shiftleft(1L, CAST(key & 63 AS INT)) END)"), F.lit(0).cast("long")) for i in range(MASK_PARTS)])
+    told = keyed(held_sets).groupBy(F.col("set_id").alias("item_set")).agg(mask.alias("item_mask"), F.collect_list("key").alias("keys"))  # an item's own words
+    told = told.select("item_set", "item_mask", F.explode("keys").alias("item_key"))
+    held = keyed(held_sets).groupBy(F.col("key").alias("held_key")).agg(F.count("*").alias("n_items"))
+    asked = keyed(asked_sets).join(held, F.col("key") == F.col("held_key"), "left")
+    by_rarity = F.sort_array(F.collect_list(F.struct(F.coalesce("n_items", F.lit(0)).alias("n_items"), "key")))  # a claim's own words
+    rare = asked.groupBy(F.col("set_id").alias("claim_set")).agg(by_rarity.alias("by_rarity"), mask.alias("claim_mask"))
+    n, need = F.size("by_rarity"), _need(F.size("by_rarity"))
+    rare = rare.select("claim_set", "claim_mask", (n - need).alias("spare"), F.explode(F.slice("by_rarity", F.lit(1), n - need + 1)["key"]).alias("key"))
+    lacking = " + ".join(f"bit_count(claim_mask[{i}] & ~item_mask[{i}])" for i in range(MASK_PARTS))
+    met = rare.join(told, (F.col("key") == F.col("item_key")) & F.expr(f"{lacking} <= spare")).select("claim_set", "item_set").distinct()
+    left = asked_sets.select(F.col("set_id").alias("claim_set"), F.col("words").alias("claim_words"))
+    right = held_sets.select(F.col("set_id").alias("item_set"), "words")
+    shared = met.join(left, "claim_set").join(right, "item_set").select("claim_set", "item_set", _need(F.size("claim_words")).alias("need"), F.size(F.array_intersect("claim_words", "words")).alias("n_shared"))
+    return shared.where("n_shared >= need")
+
+
+def claim_matches(claims: DataFrame, news: DataFrame) -> DataFrame:
+    """The items that support each claim: those with at least two thirds of its words (all of one or two), each pair a row."""
+    wanted = with_set(claims, "text").withColumnRenamed("set_id", "claim_set")
+    items = with_set(news, "title").withColumnRenamed("set_id", "item_set")
+    sets = set_matches(with_set(claims, "text"), with_set(news, "title"))
+    own = wanted.select("claim_id", "claim_set", "start", "end").distinct()
+    told = items.select("item_id", "item_set", "source_rank", F.to_date("published_at").alias("day"))
+    return sets.join(own, "claim_set").join(told, "item_set").select("claim_id", "start", "end", "need", "item_id", "source_rank", "day", "n_shared")
 
 
 def naming_items(news: DataFrame, names: DataFrame) -> DataFrame:
@@ -127,22 +157,32 @@ def verify(claims: DataFrame, news: DataFrame, as_of: str, conflicts: DataFrame
     (ticker, company) a claim is confirmed in part only if none of its official items in
     the window names the ticker or its company.
     """
-    met = claim_matches(claims, news)
+    items = news
     if conflicts is not None:
-        disputed = with_group(news).join(conflicts, "group_id", "left_semi").select("item_id", F.lit(True).alias("disputed"))
-        met = met.join(disputed, "item_id", "left")
+        items = with_group(items).join(conflicts.select("group_id", F.lit(True).alias("disputed")).distinct(), "group_id", "left")
     if names is not None:
-        met = met.join(naming_items(news, names).withColumn("naming", F.lit(True)), "item_id", "left")
-    inside = F.col("day").between(F.col("start"), F.col("end"))
-    old = F.col("day") < F.date_sub(F.lit(as_of).cast("date"), 90)
-    counts = ("official", inside & (F.col("source_rank") == 0)), ("in_window", inside), ("support", F.lit(True)), ("old", old)
+        items = items.join(naming_items(news, names).withColumn("naming", F.lit(True)), "item_id", "left")
+    official = F.col("source_rank") == 0
+    counts = {"official": official, "in_window": F.lit(True), "support": F.lit(True)}
     if conflicts is not None:
-        counts += (("conflicts", F.col("disputed")),)
+        counts["conflicts"] = F.col("disputed")
     if names is not None:
-        counts += (("naming", inside & (F.col("source_rank") == 0) & F.col("naming")),)
-    found = met.groupBy("claim_id").agg(*[F.count_if(c).alias(name) for name, c in counts])
+        counts["naming"] = official & F.col("naming")
+    # items of one word set and day count as one row, and so do claims of one word set and window
+    told = with_set(items, "title")
+    daily = told.groupBy(F.col("set_id").alias("item_set"), F.to_date("published_at").alias("day")).agg(*[F.count_if(c).alias(name) for name, c in counts.items()])
+    wanted = with_set(claims, "text").select("claim_id", F.col("set_id").alias("claim_set"), "start", "end").distinct()
+    inside = F.col("day").between(F.col("start"), F.col("end"))
+    old = F.col("day") < F.date_sub(F.lit(as_of).cast("date"), 90)
+    counted = {name: F.when(inside, F.col(name)).otherwise(0) if name in ("official", "in_window", "naming") else F.col(name) for name in counts}
+    counted["old"] = F.when(old, F.col("support")).otherwise(0)
+    windows = wanted.select("claim_set", "start", "end").distinct()
+    met = set_matches(with_set(claims, "text"), told).select("claim_set", "item_set").join(windows, "claim_set").join(daily, "item_set")
+    of_window = met.groupBy("claim_set", "start", "end").agg(*[F.sum(c).alias(name) for name, c in counted.items()])
+    same = F.expr("w.claim_set = c.claim_set and w.start <=> c.start and w.end <=> c.end")
+    found = wanted.alias("c").join(of_window.alias("w"), same).groupBy("claim_id").agg(*[F.sum(name).alias(name) for name in counted])
     every = claims.select("claim_id").distinct().join(found, "claim_id", "left")
-    out = every.select("claim_id", *[F.coalesce(name, F.lit(0).cast("long")).alias(name) for name, _ in counts])
+    out = every.select("claim_id", *[F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in ("official", "in_window", "support", "old", "conflicts", "naming") if name in counted])
     confirmed = (F.col("official") > 0) & (F.col("naming") > 0) if names is not None else F.col("official") > 0
     status = F.when(confirmed, "CONFIRMED").when(F.col("in_window") > 0, "PARTIAL").when((F.col("support") > 0) & (F.col("support") == F.col("old")), "STALE").otherwise("NOT_FOUND")
     if conflicts is not None:

@@ -105,3 +105,14 @@ def test_claims_meet_items_by_rare_words_as_by_all_words(spark):
         want |= {(c, i, len(mine & set(t.split()))) for i, k, t in news if k == ticker and mine and len(mine & set(t.split())) >= need}
     got = [(r["claim_id"], r["item_id"], r["n_shared"]) for r in events.claim_matches(claims, items).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_copies_of_claims_and_items_meet_as_one(spark):
+    """300 copies on both sides are one pair of word sets, not 90,000 rows, and are counted by day and rank all the same."""
+    items = spark.createDataFrame([(i, "T1", "steel maker lifts output target", i % 4, datetime(2024, 1, 1 + i % 20)) for i in range(300)], "item_id long, ticker string, title string, source_rank int, published_at timestamp")
+    claims = items.selectExpr("item_id AS claim_id", "ticker", "title AS text", "DATE '2024-01-03' AS start", "DATE '2024-01-06' AS end")
+    claims = claims.unionByName(spark.createDataFrame([(900, None, "steel maker"), (901, "T1", ""), (902, "T1", "steel maker x y")], "claim_id long, ticker string, text string").selectExpr("*", "DATE '2024-01-03' AS start", "CAST(NULL AS DATE) AS end"))
+    assert events.set_matches(events.with_set(claims, "text"), events.with_set(items, "title")).count() == 1
+    got = {r["claim_id"]: (r["official"], r["in_window"], r["support"], r["old"], r["status"]) for r in events.verify(claims, items, "2024-04-10").collect()}
+    assert len(got) == 303 and {v for k, v in got.items() if k < 900} == {(15, 60, 300, 150, "CONFIRMED")}
+    assert {got[k] for k in (900, 901, 902)} == {(0, 0, 0, 0, "NOT_FOUND")}

@@ -1,7 +1,9 @@
 """The filing index on pages of several shapes, with fixed values."""
 
+import duckdb
 import pytest
 
+from tallyworks import catalog
 from tallyworks.operators import filing_index as X
 
 PAGE = (
@@ -64,3 +66,24 @@ def test_units_are_near(spark):
 def test_references(index):
     got = {(r["doc_id"], r["keyword"], r["kind"], r["number"]) for r in index["references"]}
     assert got == {(1, "risk factors", "section", 0), (1, "segment", "section", 1), (1, "china", "table", 0), (1, "greater china", "table", 0), (1, "segment", "table", 0), (1, "americas", "table", 0), (1, "segment", "table", 1)}
+
+
+def test_a_year_over_the_labels_names_no_column(spark):
+    """A number like a year in a table's first cell, such as a customer's key, is no period of the table."""
+    shapes = ["<table><tr><td>inner 2004 thousand</td></tr></table>", "<table><tr><td>inner</td><td>2004</td></tr></table>"]
+    pages = spark.createDataFrame(list(enumerate(shapes)), "doc_id long, html string")
+    assert {r["doc_id"]: r["confidence"] for r in X.filing_index(pages)["tables"].collect()} == {0: "LOW", 1: "MEDIUM"}
+
+
+def test_tables_are_those_of_the_sql_for_odd_customers(spark, tmp_path):
+    """Customers without orders, and keys that look like years."""
+    keys = [5, 6, 2004, 2005, 5000, 5001, 5002, 5003, 5004]
+    customers = spark.createDataFrame([(k, f"Customer#{k:09}") for k in keys], "c_custkey long, c_name string")
+    orders = spark.createDataFrame([(i, k, p) for i, (k, p) in enumerate((k, p) for k in keys[:4] for p in ("1-URGENT", "5-LOW", "5-LOW"))], "o_orderkey long, o_custkey long, o_orderpriority string")
+    duck = duckdb.connect()
+    for name, rows in (("customer", customers), ("orders", orders)):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = catalog.QUERIES["filing_tables"](spark, str(tmp_path))
+    want = duck.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in got.columns)} FROM ({catalog.ORACLE_SQL['filing_tables']})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))

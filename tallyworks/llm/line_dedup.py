@@ -251,7 +251,7 @@ def line_links(docs: DataFrame, places: DataFrame, max_edits: int = MAX_EDITS, c
 
 
 def placed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, chars_of_edit: int = CHARS_OF_EDIT) -> DataFrame:
-    """place (doc_id, line_no, text_key), n_copies, n_links and class (the first place of all that is linked) of each different line."""
+    """h1, h2, place (doc_id, line_no, text_key), n_copies, n_links and class (the first place of all that is linked) of each different line."""
     places = durable(line_places(docs))
     links = durable(line_links(docs, places, max_edits, chars_of_edit))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -260,8 +260,8 @@ def placed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, chars_of_edit: int
     near = roots.select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "root", "n_links")
     placed = durable(slim.join(near, ["h1", "h2"], "left"))
     first = placed.where("root is not null").groupBy("root").agg(F.min("place").alias("class"))
-    linked = placed.where("root is not null").join(first, "root").select("place", "n_copies", "n_links", "class")
-    alone = placed.where("root is null").select("place", "n_copies", F.lit(0).cast("long").alias("n_links"), F.col("place").alias("class"))
+    linked = placed.where("root is not null").join(first, "root").select("h1", "h2", "place", "n_copies", "n_links", "class")
+    alone = placed.where("root is null").select("h1", "h2", "place", "n_copies", F.lit(0).cast("long").alias("n_links"), F.col("place").alias("class"))
     return linked.unionByName(alone)
 
 
@@ -271,6 +271,19 @@ def line_classes(docs: DataFrame, max_edits: int = MAX_EDITS, chars_of_edit: int
     return found.select("place.doc_id", "place.line_no", "n_copies", "n_links", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"))
 
 
+def line_members(docs: DataFrame, max_edits: int = MAX_EDITS, chars_of_edit: int = CHARS_OF_EDIT) -> DataFrame:
+    """One row per line of every document, copies too: its place, and the copies, links and class of its text as in ``line_classes``."""
+    found = placed_lines(docs, max_edits, chars_of_edit)
+    about = ("n_copies", "n_links", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"))
+    single = found.where("n_copies = 1").select("place.doc_id", "place.line_no", *about)
+    # only lines that may repeat move; a second key makes both sides shuffle, so that a line with very many copies can be split
+    repeated = found.where("n_copies > 1").select("h1", "h2", *about, F.xxhash64("h1").alias("spare"))
+    lines = split_lines(docs).select("doc_id", "line_no", *_key(F.col("line")))
+    asked = ask_bloom(lines, "h1", blocked_bloom(repeated, "h1"), "maybe").where("maybe").select("doc_id", "line_no", "h1", "h2", F.xxhash64("h1").alias("spare"))
+    copies = asked.join(repeated, ["h1", "h2", "spare"]).select("doc_id", "line_no", "n_copies", "n_links", "class_doc_id", "class_line_no")
+    return single.unionByName(copies)
+
+
 def drop_near_lines(docs: DataFrame, max_edits: int = MAX_EDITS, chars_of_edit: int = CHARS_OF_EDIT) -> DataFrame:
     """The documents, in their own columns, with only the first line of each class left in the texts."""
     first = placed_lines(docs, max_edits, chars_of_edit).where("place = class").select("place.*")

@@ -12,7 +12,7 @@ from .decontaminate import contaminated
 from .exact_dedup import EXACT_SQL, exact_digest
 from .fingerprints import fingerprint_digest
 from .licenses import scan_licenses
-from .line_dedup import line_classes
+from .line_dedup import line_members
 from .quality import rate_quality
 from .search import SEARCH_SQL, lexical_search
 from .secret_scan import scan_secrets
@@ -36,7 +36,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(read_table(spark, sf_dir, "documents"))
+    return line_members(read_table(spark, sf_dir, "documents"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

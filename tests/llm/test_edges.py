@@ -7,7 +7,7 @@ from tallyworks.llm.bpe import digest_texts, encode_texts
 from tallyworks.llm.decontaminate import contaminated, drop_contaminated
 from tallyworks.llm.exact_dedup import exact_digest
 from tallyworks.llm.licenses import scan_licenses
-from tallyworks.llm.line_dedup import drop_near_lines, line_classes
+from tallyworks.llm.line_dedup import drop_near_lines, line_classes, line_members
 from tallyworks.llm.quality import keep_quality, rate_quality
 from tallyworks.llm.secret_scan import scan_secrets
 from tallyworks.llm.simhash import simhash_digest
@@ -107,3 +107,22 @@ def test_pages(spark):
     assert len(got) == 6
     assert {(r["page_id"], r["host"], r["verdict"]) for r in got if r["page_id"] in (1, 2, 3)} == {(1, "", "allow"), (2, "", "allow"), (3, "", "allow")}
     assert filter_urls(pages.limit(0), pages.select("url")).collect() == []
+
+
+def test_line_members_are_all_lines_of_all_documents(spark):
+    """Every place of a line that repeats is listed with its class, not the first one only."""
+    texts = ["a long line of text\nxx\n\nxx", "a long line of texts\nxx", None, "", "alone here in its text\na long line of text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["line_no"]): (r["n_copies"], r["n_links"], r["class_doc_id"], r["class_line_no"]) for r in line_members(docs).collect()}
+    assert got == {
+        (0, 0): (2, 1, 0, 0),
+        (1, 0): (1, 1, 0, 0),
+        (4, 1): (2, 1, 0, 0),
+        (0, 1): (3, 0, 0, 1),
+        (0, 3): (3, 0, 0, 1),
+        (1, 1): (3, 0, 0, 1),
+        (4, 0): (1, 0, 4, 0),
+    }
+    rows = line_members(messy(spark))
+    lines = [line for r in messy(spark).collect() for line in (r["text"] or "").split("\n") if line]
+    assert rows.count() == len(lines)

@@ -87,3 +87,11 @@ def test_tables_are_those_of_the_sql_for_odd_customers(spark, tmp_path):
     got = catalog.QUERIES["filing_tables"](spark, str(tmp_path))
     want = duck.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in got.columns)} FROM ({catalog.ORACLE_SQL['filing_tables']})").fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_marks_are_dealt_out_themselves(spark):
+    """Pages that were dealt out by their id before do not keep those partitions for their marks, which are many times larger."""
+    pages = spark.createDataFrame([(i, "<p>a</p>") for i in range(9)], "doc_id long, html string").repartition(3, "doc_id")
+    plan = X.marks(pages)._jdf.queryExecution().executedPlan().toString()
+    window, cut = plan.index("Window"), plan.index("Generate")
+    assert "Exchange hashpartitioning(doc_id" in plan[window:cut]

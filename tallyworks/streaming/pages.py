@@ -3,8 +3,8 @@
 A feed is a chain of pages: each holds items and the cursor of the next page, or
 none yet. The offset is, for each feed, how many pages were read and the cursor
 of the last one, so a pull that is stopped goes on behind it, also when the feed
-has grown meanwhile. The driver follows cursors only; the items of each page are
-read by a task of its own.
+has grown meanwhile. The driver follows cursors only, once a pull; the items are
+read by tasks, a page each or, of more than MOST_TASKS pages, several each.
 
 Pages lie in ``<path>/feed=<feed>/cursor=<cursor>/`` as one file of JSON
 (``{"items": [...], "next_cursor": "..."}``) each; a feed's first cursor is
@@ -30,6 +30,8 @@ from pyspark.sql.window import Window
 START = "start"
 #: Characters that Spark writes as % and two digits in the name of a partition's folder.
 ESCAPED = re.compile(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+#: Tasks that a batch has at most, besides one a feed: more pages are read several by a task.
+MOST_TASKS = 1000
 SCHEMA = "feed string, cursor string, item string"
 
 
@@ -38,9 +40,11 @@ def folder_name(value: str) -> str:
 
 
 class Page(InputPartition):
-    def __init__(self, feed: str, cursor: str):
-        super().__init__((feed, cursor))
-        self.feed, self.cursor = feed, cursor
+    """A page of a feed, and those behind it that the same task reads."""
+
+    def __init__(self, feed: str, cursor: str, more: tuple[str, ...] = ()):
+        super().__init__((feed, cursor, more))
+        self.feed, self.cursor, self.more = feed, cursor, more
 
 
 class PagedFeeds(DataSource):
@@ -61,6 +65,8 @@ class PageReader(DataSourceStreamReader):
     def __init__(self, path: str):
         self.path = path.rstrip("/")
         self.last: dict[str, dict] = {}
+        #: The cursors that were followed for an offset so that ``partitions`` need not read the pages again.
+        self.followed: dict[str, list[str]] = {}
 
     def _files(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
@@ -96,26 +102,34 @@ class PageReader(DataSourceStreamReader):
         feeds = [unquote(f.base_name.removeprefix("feed=")) for f in system.get_file_info(fs.FileSelector(top, allow_not_found=True)) if f.base_name.startswith("feed=")]
         for feed in sorted(feeds):
             read = self.last.get(feed, {"pages": 0, "cursor": None})
+            chain = self.followed.setdefault(feed, [])
             for cursor in self._behind(feed, read["cursor"]):
                 read = {"pages": read["pages"] + 1, "cursor": cursor}
+                chain.append(cursor)
             if read["pages"]:
                 self.last[feed] = read
         return dict(self.last)
 
     def partitions(self, start: dict, end: dict) -> list[Page]:
-        pages = []
+        asked = {}
         for feed, upto in end.items():
             read = start.get(feed, {"pages": 0, "cursor": None})
-            behind = self._behind(feed, read["cursor"])
-            pages += [Page(feed, cursor) for _, cursor in zip(range(upto["pages"] - read["pages"]), behind, strict=False)]
-        return pages
+            chain = self.followed.get(feed, [])  # from the first page on
+            if len(chain) >= upto["pages"] and chain[upto["pages"] - 1] == upto["cursor"] and (not read["pages"] or chain[read["pages"] - 1] == read["cursor"]):
+                asked[feed] = chain[read["pages"] : upto["pages"]]
+            else:
+                behind = self._behind(feed, read["cursor"])
+                asked[feed] = [cursor for _, cursor in zip(range(upto["pages"] - read["pages"]), behind, strict=False)]
+        size = -(-sum(map(len, asked.values())) // MOST_TASKS) or 1
+        return [Page(feed, chain[i], tuple(chain[i + 1 : i + size])) for feed, chain in asked.items() for i in range(0, len(chain), size)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        page = self._page(partition.feed, partition.cursor)
-        if page is None:  # it was there when the batch was planned: the task is tried again
-            raise ValueError(f"page {partition.cursor} of feed {partition.feed} is gone")
-        for item in page.get("items") or []:
-            yield partition.feed, partition.cursor, json.dumps(item, ensure_ascii=False)
+        for cursor in (partition.cursor, *partition.more):
+            page = self._page(partition.feed, cursor)
+            if page is None:  # it was there when the batch was planned: the task is tried again
+                raise ValueError(f"page {cursor} of feed {partition.feed} is gone")
+            for item in page.get("items") or []:
+                yield partition.feed, cursor, json.dumps(item, ensure_ascii=False)
 
 
 def feed_stream(spark: SparkSession, path: str) -> DataFrame:

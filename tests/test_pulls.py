@@ -88,3 +88,38 @@ def test_readings(spark, tmp_path):
         10: (1.0, None, "STABLE"),
         11: (1.05, 10, "STABLE"),
     }
+
+
+def test_many_pages_are_followed_once_and_read_by_bounded_tasks(tmp_path, monkeypatch):
+    for i in range(25):
+        put(tmp_path, "f", "start" if i == 0 else f"p{i}", [i], f"p{i + 1}")
+    monkeypatch.setattr(P, "MOST_TASKS", 10, raising=False)
+    reader = P.PageReader(str(tmp_path))
+    end = reader.latestOffset()
+    opened = []
+    page = P.PageReader._page
+    monkeypatch.setattr(P.PageReader, "_page", lambda self, feed, cursor: opened.append(cursor) or page(self, feed, cursor))
+    tasks = reader.partitions({}, end)
+    assert not opened and len(tasks) <= 10
+    assert [json.loads(item) for t in tasks for _, _, item in reader.read(t)] == list(range(25))
+    behind = reader.partitions({"f": {"pages": 20, "cursor": "p19"}}, end)
+    assert [c for t in behind for c in (t.cursor, *t.more)] == [f"p{i}" for i in range(20, 25)]
+    assert [c for t in P.PageReader(str(tmp_path)).partitions({"f": {"pages": 20, "cursor": "p19"}}, end) for c in (t.cursor, *t.more)] == [f"p{i}" for i in range(20, 25)]
+
+
+def test_a_batch_asks_the_state_of_a_key_once(monkeypatch):
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or iter(())
+
+    readings = R.FlowReadings()
+    readings.kept = readings.handle = State()
+    n = 300
+    rows = pd.DataFrame({"reading_id": range(n), "label": ["T-14", "T-7", "T-2"] * (n // 3), "ts": pd.date_range("2024-03-01", periods=n, freq="min"), "put_volume_ratio": 1.0, "put_call_ratio": 1.0})
+    got = pd.concat(readings.handleInputRows(("A",), iter([rows]), None))
+    assert list(got["before_id"][1:3]) == [0, 1] and len(got) == n
+    assert len(calls) == 7 and calls.count("updateValue") == calls.count("registerTimer") == 3

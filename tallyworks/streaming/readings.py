@@ -2,7 +2,8 @@
 
 State is a map by label for each ticker. Time is event time: a reading compares
 with the former label's latest reading if that is at most 72 hours older, and a
-timer forgets a reading when the watermark has passed its 72 hours. Readings of a
+timer forgets a reading when the watermark has passed its 72 hours. Each batch reads and
+writes a ticker's state once. Readings of a
 ticker in one batch are taken in the order of their time and id.
 
 A reading without any measure compares with none; a measure of zero before gives
@@ -30,22 +31,25 @@ class FlowReadings(StatefulProcessor):
         self.kept = handle.getMapState("kept", "label string", "at long, reading_id long, measure double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
+        # the state of the key is read and written once, not at each reading: it has a label or a few
+        kept = {label: value for (label,), value in self.kept.iterator()}
+        new, out = set(), []
         for r in pd.concat(list(rows)).sort_values(["ts", "reading_id"]).itertuples():
             at = int(r.ts.value // 1_000_000) if r.ts.unit == "ns" else int(r.ts.timestamp() * 1000)
             measure = next((float(x) for x in (r.put_volume_ratio, r.put_call_ratio) if not pd.isna(x)), None)
             label = None if pd.isna(r.label) else r.label
-            former = (BEFORE.get(label),)
+            former = kept.get(BEFORE.get(label))
             before_id = before = None
-            if former[0] and self.kept.containsKey(former):
-                then, an_id, value = self.kept.getValue(former)
-                if at - then <= KEPT_MS:
-                    before_id, before = an_id, value
+            if former is not None and at - former[0] <= KEPT_MS:
+                _, before_id, before = former
             change = measure / before if measure is not None and before is not None and before > 0 else 1.0
             out.append((key[0], r.reading_id, label, r.ts, measure, before_id, before, "INCREASING" if change > RISE else "DECREASING" if change < FALL else "STABLE"))
             if label is not None:
-                self.kept.updateValue((label,), (at, int(r.reading_id), measure))
-                self.handle.registerTimer(at + KEPT_MS + 1)
+                kept[label] = (at, int(r.reading_id), measure)
+                new.add(label)
+        for label in new:
+            self.kept.updateValue((label,), kept[label])
+            self.handle.registerTimer(kept[label][0] + KEPT_MS + 1)
         made = pd.DataFrame(out, columns=["ticker", "reading_id", "label", "ts", "measure", "before_id", "before", "trend"])
         yield made.astype({"before_id": "Int64", "measure": "float64", "before": "float64"})
 

@@ -50,6 +50,8 @@ FREQUENT = 100_000
 #: 64-bit parts of the parities of any set, and the most bits that a long set's have.
 PARTS = 8
 MOST_BITS = 1 << 24
+#: Characters of text whose sets of shingles a task holds at once.
+PART_CHARS = 1_000_000
 #: Odd numbers, one for each word's place in a shingle.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype="u8")
 
@@ -127,27 +129,35 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table[:, 0].copy(), table[:, 1].copy()
 
 
+def small_parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in parts of PART_CHARS characters of text or a row more, so that the sets held at once are few whatever the texts' lengths."""
+    part = batch["text"].str.len().fillna(0).cumsum() // PART_CHARS
+    for _, rows in batch.groupby(part.to_numpy(), sort=False):
+        yield rows
+
+
 def shingle_rows(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2, node (of the set of shingles), fp (its fingerprint), odd and wide (its parities), n (its size) and head (its prefix) of each row."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t) for t in batch["text"]]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype="u8").view("i8")
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "k1": batch["k1"],
-                    "k2": batch["k2"],
-                    "node": nodes,
-                    "fp": [set_fingerprint(s) for s in sets],
-                    "odd": [parities(s) for s in sets],
-                    "wide": [parities(s, wide_bits(len(s))).tobytes() for s in sets],
-                    "n": [len(s) for s in sets],
-                    "head": [prefix(s, *frequent.value) for s in sets],
-                }
-            )
+        for whole in batches:
+            for batch in small_parts(whole):
+                sets = [shingles(t) for t in batch["text"]]
+                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype="u8").view("i8")
+                yield pd.DataFrame(
+                    {
+                        "doc_id": batch["doc_id"],
+                        "k1": batch["k1"],
+                        "k2": batch["k2"],
+                        "node": nodes,
+                        "fp": [set_fingerprint(s) for s in sets],
+                        "odd": [parities(s) for s in sets],
+                        "wide": [parities(s, wide_bits(len(s))).tobytes() for s in sets],
+                        "n": [len(s) for s in sets],
+                        "head": [prefix(s, *frequent.value) for s in sets],
+                    }
+                )
 
     asked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), *row_keys(), "text")
     kind = docs.schema["doc_id"].dataType
@@ -158,8 +168,9 @@ def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and shingles of the ``nodes`` (node, k1), each read from the row k1."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "shingles": [shingles(t) for t in batch["text"]]})
+        for whole in batches:
+            for batch in small_parts(whole):
+                yield pd.DataFrame({"node": batch["node"], "shingles": [shingles(t) for t in batch["text"]]})
 
     keyed = docs.select(row_keys()[0], "text")
     some = ask_bloom(keyed, "k1", blocked_bloom(nodes, "k1"), "maybe").where("maybe").drop("maybe")

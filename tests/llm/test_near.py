@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 
 from corpus_pipeline import simhash_dedup
+from tallyworks.llm import near_dedup
 from tallyworks.llm.near_dedup import ALIKE, _bits_apart, parities, set_fingerprint, wide_bits
 
 from .data import docs_of, messy, messy_rows, sentence
@@ -85,3 +86,11 @@ def test_messy_rows(spark):
         want.append(min(rows, key=lambda r: (r[0] is None, r[0] or 0))[:2])
     assert sorted(map(str, (tuple(r)[:2] for r in out.collect()))) == sorted(map(str, want))
     assert simhash_dedup(spark, docs.limit(0), "").collect() == []
+
+
+def test_long_batches_are_taken_in_small_parts(monkeypatch):
+    """The sets of shingles of a batch are not held all at once."""
+    monkeypatch.setattr(near_dedup, "PART_CHARS", 100)
+    batch = pd.DataFrame({"text": ["x" * 30] * 20 + [None, "", "y" * 1000, "z"]}, index=range(7, 31))
+    parts = list(near_dedup.small_parts(batch))
+    assert pd.concat(parts).equals(batch) and all(p["text"].str.len().fillna(0)[1:].sum() <= 100 for p in parts)

@@ -15,10 +15,10 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers; the memory is emptied when full.
 MEMORY_WORDS = 300_000
 #: Characters of text whose new words are merged in one flat array.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 250_000
 #: Fixed values: (first, last, what is added) of the letters that the library lower-cases and Python's tables don't.
 LOWERED = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B))
 #: Fixed values: (first, last) of code points that are letters or digits by the regex module's tables and not by the library's, which are older.
@@ -147,7 +147,7 @@ class WordBpe:
             self.learn(sorted(new))
         return [b"".join(map(self.memory.__getitem__, words)) for words in split]
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         block, chars = [], 0
         for text in texts:
             block.append(text or "")
@@ -165,12 +165,14 @@ class WordBpe:
 def bpe_digest(text: Column, tokenizer: str = TOKENIZER) -> Column:
     """A struct of n_tokens and the SHA-256 of the ids and of the decoded text."""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    # Arrow, not pandas: a batch has 10,000 texts, which would stand in memory a second time
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = WordBpe(tokenizer_file(tokenizer))
+        kind = pa.struct({"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()})
         for texts in batches:
-            rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()) for ids in bpe.encode(list(texts))]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()) for ids in bpe.encode(t.as_py() for t in texts)]
+            yield pa.array(rows, kind)
 
     return digest(text)
 
@@ -178,12 +180,13 @@ def bpe_digest(text: Column, tokenizer: str = TOKENIZER) -> Column:
 def encode_texts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, ids (array of int) and the decoded text of each row."""
 
-    @F.pandas_udf("ids array<int>, decoded string")
-    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("ids array<int>, decoded string")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = WordBpe(tokenizer_file(tokenizer))
+        kind = pa.struct({"ids": pa.list_(pa.int32()), "decoded": pa.string()})
         for texts in batches:
-            rows = [(np.frombuffer(ids, "<u4").astype(np.int32), bpe.decode(ids)) for ids in bpe.encode(list(texts))]
-            yield pd.DataFrame(rows, columns=["ids", "decoded"])
+            rows = [(np.frombuffer(ids, "<u4").astype(np.int32), bpe.decode(ids)) for ids in bpe.encode(t.as_py() for t in texts)]
+            yield pa.array(rows, kind)
 
     return docs.select("doc_id", coded("text").alias("c")).select("doc_id", "c.*")
 

@@ -66,6 +66,17 @@ def test_round_trip(spark):
         assert full[i]["ids"] == ids and full[i]["decoded"] == decoded
 
 
+def test_a_batch_is_taken_in_small_parts():
+    bpe, held = WordBpe(public_tokenizers.path("word_bpe_49k.json")), []
+    bpe.encode_block = lambda texts: held.append(sum(map(len, texts))) or [b""] * len(texts)
+    taken = []
+    texts = (taken.append(i) or "word " * 200 for i in range(10_000))  # as many as a batch of Arrow has
+    next(bpe.encode(texts))
+    assert len(taken) <= 300  # no list of the whole batch is made
+    assert len(list(bpe.encode(["word " * 200] * 10_000))) == 10_000
+    assert max(held) <= 300_000
+
+
 def test_every_code_point():
     import numpy as np
     from tokenizers import Tokenizer

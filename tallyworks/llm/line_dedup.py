@@ -44,7 +44,8 @@ CHARS_OF_EDIT = 4
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (the text's hash), line_no (from 0) and line of every line that is not empty."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("lines"))
-    return keyed.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "line")).where("line <> ''")
+    # outer, as Spark would otherwise split each text twice more to see whether it has lines; a null line goes with the empty ones
+    return keyed.select("doc_id", "text_key", F.posexplode_outer("lines").alias("line_no", "line")).where("line <> ''")
 
 
 def _allowed(length: Column, max_edits: int, chars_of_edit: int) -> Column:
@@ -64,12 +65,22 @@ COUNT_CODE = (0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000)
 #: One edit changes two counts by one (a letter becomes another), or one count.
 BITS_OF_EDIT = 2
 
-
 def letter_counts(line: Column) -> Column:
-    """The counts of the letters COUNTED, coded in one long: lines that differ in k edits differ in at most 2 k bits."""
-    code, n = F.array(*[F.lit(c).cast("long") for c in COUNT_CODE]), F.octet_length(line)
-    counts = [n - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED]
-    return reduce(Column.bitwiseOR, [F.shiftleft(F.get(code, k.bitwiseAND(7)), 4 * i) for i, k in enumerate(counts)])
+    """The counts of the letters COUNTED, coded in one long: lines that differ in k edits differ in at most 2 k bits.
+
+    A letter is counted by what its removal takes off and stays removed, so that each pass is shorter than the one before.
+    """
+    code = F.array(*[F.lit(c).cast("long") for c in COUNT_CODE])
+
+    def step(state: Column, letter: Column) -> Column:
+        def count(left: Column) -> Column:
+            n = F.octet_length(state["rest"]) - F.octet_length(left)
+            return F.struct(left.alias("rest"), F.shiftleft(state["bits"], 4).bitwiseOR(F.get(code, n.bitwiseAND(7))).alias("bits"))
+
+        return _with(F.replace(state["rest"], letter, F.lit("")), count)
+
+    begin = F.struct(line.alias("rest"), F.lit(0).cast("long").alias("bits"))
+    return F.aggregate(F.array(*[F.lit(c) for c in COUNTED]), begin, step, lambda state: state["bits"])
 
 
 def line_places(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyworks.llm.bloom import ask_bloom, blocked_bloom, keep_rows, row_keys
 from tallyworks.llm.components import connected_components
 from tallyworks.llm.exact_dedup import exact_copies, exact_digest
-from tallyworks.llm.line_dedup import banded_distance, drop_near_lines, letter_counts, line_classes, within
+from tallyworks.llm.line_dedup import banded_distance, drop_near_lines, letter_counts, line_classes, split_lines, within
 from tallyworks.llm.simhash import GolayAnchors, fingerprint, home_anchors, near_duplicates, replicas, simhash_digest
 
 from .data import docs_of, sentence
@@ -237,6 +237,23 @@ def test_within_two_edits(spark):
         assert r["bits"] <= 2 * d
 
 
+def test_letters_are_counted_in_whole_lines(spark):
+    code = (0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000)
+    lines = ["", "e", "eta oin", "wwwwwwwww", "é" * 20 + "shrdlu", "the cat sat on the mat " * 200]
+    rows = docs_of(spark, lines).select("doc_id", letter_counts(F.col("text")).alias("bits")).collect()
+    for r in rows:
+        want = "".join(f"{code[lines[r['doc_id']].count(c) % 8]:04b}" for c in "etaoinshrdlucmfw")
+        assert f"{r['bits'] % (1 << 64):064b}" == want
+
+
+def test_a_text_is_split_once(spark, tmp_path):
+    docs_of(spark, ["a\n\nb", "", None, "\n", "c"]).write.parquet(f"{tmp_path}/docs")
+    lines = split_lines(spark.read.parquet(f"{tmp_path}/docs"))
+    assert sorted((r["doc_id"], r["line_no"], r["line"]) for r in lines.collect()) == [(0, 0, "a"), (0, 2, "b"), (4, 0, "c")]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1  # Spark's own check that there are lines split a text twice more
+
+
 def test_edits_behind_a_very_long_start(spark):
     pairs = spark.range(1).selectExpr("repeat('ab', 1100000) || 'xcy' AS a", "repeat('ab', 1100000) || 'wcv' AS b")
     assert pairs.select(within(F.col("a"), F.col("b"), 2).alias("near")).first()["near"]

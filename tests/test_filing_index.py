@@ -5,6 +5,7 @@ import pytest
 
 from tallyworks import catalog
 from tallyworks.operators import filing_index as X
+from tallyworks.plans import filings
 
 PAGE = (
     "<html><!-- <h1>no</h1> --><script>var a = '<h2>no</h2>';</script><body onload=\"go('<h3>')\">"
@@ -89,6 +90,23 @@ def test_tables_are_those_of_the_sql_for_odd_customers(spark, tmp_path):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
+def test_customers_without_orders_have_whole_tables(spark, tmp_path):
+    """Their places, units and confidence are those of the page, as for all others, in the query and in its SQL."""
+    customers = spark.createDataFrame([(k, f"Customer#{k:09}") for k in (1, 6)], "c_custkey long, c_name string")
+    orders = spark.createDataFrame([(1, 9, "5-LOW")], "o_orderkey long, o_custkey long, o_orderpriority string")
+    duck = duckdb.connect()
+    for name, rows in (("customer", customers), ("orders", orders)):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    page = dict(filings.pages(spark, str(tmp_path)).select("doc_id", X.cleaned("html")).collect())
+    got = catalog.QUERIES["filing_tables"](spark, str(tmp_path)).select("doc_id", "table_no", "start", "end", "unit_scale", "confidence").collect()
+    tables = {(r["doc_id"], r["table_no"]): page[r["doc_id"]][r["start"] : r["end"]] for r in got}
+    assert set(tables) == {(1, 0), (6, 0), (6, 1)} and all(t.startswith("<table") and t.endswith("</table>") for t in tables.values())
+    assert {(r["doc_id"], r["table_no"]): (r["unit_scale"], r["confidence"]) for r in got} == {(1, 0): ("millions", "MEDIUM"), (6, 0): ("thousands", "HIGH"), (6, 1): ("thousands", "LOW")}
+    want = duck.execute(f'SELECT doc_id, table_no, start, "end", unit_scale, confidence FROM ({catalog.ORACLE_SQL["filing_tables"]})').fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_marks_are_dealt_out_themselves(spark):
     """Pages that were dealt out by their id before do not keep those partitions for their marks, which are many times larger."""
     pages = spark.createDataFrame([(i, "<p>a</p>") for i in range(9)], "doc_id long, html string").repartition(3, "doc_id")

@@ -123,3 +123,48 @@ def test_a_batch_asks_the_state_of_a_key_once(monkeypatch):
     got = pd.concat(readings.handleInputRows(("A",), iter([rows]), None))
     assert list(got["before_id"][1:3]) == [0, 1] and len(got) == n
     assert len(calls) == 7 and calls.count("updateValue") == calls.count("registerTimer") == 3
+
+
+def test_a_batch_asks_the_state_of_a_part_once():
+    """However many tickers a part has: calls for each of them take too long on large tables."""
+    import pandas as pd
+
+    calls, values = [], []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or values.extend(a) or (values[0] if name == "get" and values else None)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    readings = R.PartReadings()
+    readings.kept, readings.handle = State(), State()
+    n = 300
+    rows = pd.DataFrame({"ticker": [f"U{i}" for i in range(n)], "reading_id": range(n), "label": "T-14", "ts": pd.Timestamp("2024-03-01"), "put_volume_ratio": 1.0, "put_call_ratio": None})
+    (got,) = readings.handleInputRows((0,), iter([rows]), Times())
+    assert len(got) == n and got["before_id"].isna().all() and calls == ["get", "update", "registerTimer"]
+    (got,) = readings.handleInputRows((0,), iter([rows.assign(reading_id=range(n, 2 * n), label="T-7", ts=pd.Timestamp("2024-03-02"))]), Times())
+    assert (got["reading_id"] - got["before_id"] == n).all() and calls[3:] == ["get", "update", "registerTimer"]
+
+
+def test_readings_by_part_are_those_by_ticker(spark, tmp_path):
+    """Several batches with ties, late rows, a jump in time, missing measures, labels and tickers."""
+    import random
+
+    deal = random.Random(7)
+    schema = "ticker string, reading_id long, label string, ts timestamp, put_volume_ratio double, put_call_ratio double"
+    some = lambda *values: deal.choice(values)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        for batch, hours in enumerate((0, 60, 30, 400, 440)):  # the third is late, the fourth is behind what is kept
+            rows = [(some(None, "A", "B", "C", "D"), 1000 * batch + i, some(None, "T-14", "T-7", "T-2", "other"), datetime(2024, 3, 1) + timedelta(hours=hours + deal.randrange(60)), some(None, 0.0, 1.0, 2.0), some(None, 1.5)) for i in range(120)]
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            by_part, by_ticker = (P.pull(R.flow_readings(stream, "48 hours", parts), str(tmp_path / f"out{parts}")) for parts in (3, None))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got, want = (sorted(map(repr, map(tuple, rows.collect()))) for rows in (by_part, by_ticker))
+    assert got == want and 480 < len(got) < 600
+    assert by_part.where("before_id % 1000 >= 0 and floor(before_id / 1000) < floor(reading_id / 1000)").count() > 10
